@@ -91,30 +91,46 @@ def _ascii_folds():
     return single, multi
 
 
+def _let(value, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+_NON_ASCII = r"[^\x00-\x7F]"
+
+
 def ascii_fold(col) -> Column:
     """Compatibility-decompose, then drop whatever is not ASCII. Pure ASCII passes through."""
     single, multi = _ascii_folds()
-    folded = F.translate(col, "".join(single), "".join(single.values()))
-    table = F.create_map(*[F.lit(x) for pair in multi.items() for x in pair])
-    wide = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in multi) + "]"
-    spelled = F.array_join(
-        F.transform(F.split(folded, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), ""
-    )
-    folded = F.when(folded.rlike(wide), spelled).otherwise(folded)
-    return F.when(col.rlike(r"[^\x00-\x7F]"), F.regexp_replace(folded, r"[^\x00-\x7F]+", "")).otherwise(col)
+    signs = F.lit("".join(multi))
+    spellings = F.split(F.lit("\x00".join(multi.values())), "\x00")
+
+    def spelled(char):
+        known = F.get(spellings, F.position(char, signs) - 1)
+        return F.when(char <= "\x7f", char).otherwise(F.coalesce(known, F.lit("")))
+
+    def finish(text):
+        return F.when(text.rlike(_NON_ASCII), F.array_join(F.transform(F.split(text, ""), spelled), "")).otherwise(text)
+
+    plain = F.translate(col, "".join(single), "".join(single.values()))
+    return F.when(col.rlike(_NON_ASCII), _let(plain, finish)).otherwise(col)
 
 
 def slugify(col, max_length=SLUG_MAX) -> Column:
     """A file-name-safe, lower-case form of a text."""
-    name = ascii_fold(col)
-    slug = F.regexp_replace(name, r"[ \t\n\x0B\f\r\x1c-\x1f/\\:]+", "-")
-    slug = F.regexp_replace(slug, r"[^A-Za-z0-9_.\-]+", "-")
-    slug = F.lower(F.btrim(slug, F.lit("-")))
-    return (
-        F.when(name.rlike(r"\A[^A-Za-z0-9_]*\.txt\n?\z"), F.lit(SLUG_ONLY_PUNCTUATION))
-        .when(slug == "", F.lit(SLUG_EMPTY))
-        .otherwise(F.left(slug, F.lit(max_length)))
-    )
+
+    def cut(slug):
+        return F.when(slug == "", F.lit(SLUG_EMPTY)).otherwise(F.left(slug, F.lit(max_length)))
+
+    def shape(name):
+        slug = F.regexp_replace(name, r"[ \t\n\x0B\f\r\x1c-\x1f/\\:]+", "-")
+        slug = F.regexp_replace(slug, r"[^A-Za-z0-9_.\-]+", "-")
+        only_punctuation = name.rlike(r"\A[^A-Za-z0-9_]*\.txt\n?\z")
+        return F.when(only_punctuation, F.lit(SLUG_ONLY_PUNCTUATION)).otherwise(
+            _let(F.lower(F.btrim(slug, F.lit("-"))), cut)
+        )
+
+    return _let(ascii_fold(col), shape)
 
 
 def mask_key(col) -> Column:
@@ -126,7 +142,9 @@ def mask_key(col) -> Column:
 
 
 def find_keys(col, pattern=KEY_PATTERN) -> Column:
-    return F.regexp_extract_all(col, F.lit(f"({pattern})"), F.lit(1))
+    """All key-shaped tokens; texts without any pay for one search only."""
+    found = F.regexp_extract_all(col, F.lit(f"({pattern})"), F.lit(1))
+    return F.when(col.rlike(pattern), found).otherwise(F.array().cast("array<string>"))
 
 
 def mask_keys(col, pattern=KEY_PATTERN) -> Column:

@@ -9,14 +9,15 @@ from corpusctx.functions.text import slugify
 from corpusctx.operators.ordering import number_rows
 
 # Fixed values of folder names: ``NNN-name``; two digits until number 99 exists, then three.
-NUMBERED = "^([0-9]+)-(.+)$"
+# Prefixes beyond 18 digits do not fit a BIGINT and count as plain names.
+NUMBERED = "^([0-9]{1,18})-(.+)$"
 NARROW, WIDE, WIDE_FROM = 2, 3, 99
 RESULT_SUFFIX = ".md"
 
 
 def folder_number(name):
     """Numeric prefix of a folder name, null when it has none."""
-    return F.regexp_extract(name, NUMBERED, 1).try_cast("bigint")
+    return F.nullif(F.regexp_extract(name, NUMBERED, 1), F.lit("")).cast("bigint")
 
 
 def pad_number(number, width):

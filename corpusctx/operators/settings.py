@@ -84,9 +84,7 @@ def split_params(flat, column="params"):
 
 def coerce_params(rows):
     """Add the typed value of ``v`` and its text form."""
-    return rows.withColumn("typed", params.coerce(F.col("v"))).withColumn(
-        "value_text", params.value_text(F.col("typed"))
-    )
+    return params.coerce(rows).withColumn("value_text", params.value_text(F.col("typed")))
 
 
 def merge_overrides(layers, keys=("task_id", "model", "k")):

@@ -19,20 +19,20 @@ def read_response_log(df, raw="raw"):
     def field(path, kind="string"):
         return F.try_variant_get("_v", path, kind)
 
-    content = field("$.choices[0].message.content")
-    first_id = field("$.id")
-    generation = F.when(first_id != "", first_id).otherwise(field("$.usage.generation_id"))
-    no_choice = field("$.choices", "array<variant>").isNotNull() & (F.size(field("$.choices", "array<variant>")) == 0)
+    def text(path):
+        return F.nullif(field(path), F.lit(""))
+
+    choices = F.size(field("$.choices", "array<variant>"))
     error = (
         F.when(F.col("_v").isNull(), BAD_BODY)
-        .when(no_choice, NO_CHOICES)
-        .when(F.coalesce(content, F.lit("")) == "", EMPTY_CONTENT)
+        .when(choices == 0, NO_CHOICES)
+        .when(text("$.choices[0].message.content").isNull(), EMPTY_CONTENT)
     )
     rest = [c for c in df.columns if c != raw]
     return parsed.select(
         *rest,
-        F.when(content != "", content).alias("content"),
-        F.when(generation != "", generation).alias("generation_id"),
+        text("$.choices[0].message.content").alias("content"),
+        F.coalesce(text("$.id"), text("$.usage.generation_id")).alias("generation_id"),
         F.coalesce(field("$.usage.prompt_tokens", "bigint"), F.lit(0)).cast("bigint").alias("tokens_prompt"),
         F.coalesce(field("$.usage.completion_tokens", "bigint"), F.lit(0)).cast("bigint").alias("tokens_completion"),
         field("$.usage.total_tokens", "bigint").alias("reported_total"),
