@@ -9,11 +9,16 @@ from dataclasses import dataclass
 from pyspark.sql import functions as F
 
 from corpusctx.functions import paths, text
-from corpusctx.operators.ordering import number_rows
+from corpusctx.operators.joins import join_on, join_wide, without_keys
+from corpusctx.operators.ordering import path_order
+from corpusctx.sources.scratch import materialize
 
 # One cell holds at most this many characters; larger prompts stay in the parts table.
 MAX_CELL_CHARS = 64_000_000
 
+# Parts of one group that may meet its tasks in one place.
+PARTS_PER_SLICE = 100_000
+
 
 @dataclass(frozen=True)
 class Templates:
@@ -59,19 +64,31 @@ def block_chars(files, templates=Templates()):
     return files.withColumn("block_chars", chars.cast("bigint")).drop("content", "read_error")
 
 
-def join_texts(df, keys, order, value, out, max_chars=MAX_CELL_CHARS):
+def text_sizes(df, keys, value):
+    """Rows and characters of ``value`` per group."""
+    return df.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.sum(F.length(value).cast("bigint")).cast("bigint").alias("chars")
+    )
+
+
+def join_texts(df, keys, order, value, out, max_chars=MAX_CELL_CHARS, sizes=None):
     """Ordered concatenation of ``value`` per group: ``keys, n, chars, out``.
 
-    Sizes are summed first. Groups beyond ``max_chars`` never reach the collecting
-    aggregate: they keep their counts and a null text, and stay available row by row.
+    Sizes (``keys, n, chars``) are summed first unless given. Groups beyond ``max_chars``
+    never reach the collecting aggregate nor its shuffle: they keep their counts and a null
+    text, and stay available row by row.
     """
-    sizes = df.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.sum(F.length(value).cast("bigint")).cast("bigint").alias("chars")
-    )
-    fitting = df.join(sizes.filter(F.col("chars") <= max_chars).select(*keys), keys, "left_semi")
+    sizes = materialize(text_sizes(df, keys, value) if sizes is None else sizes, "sizes")
+    large = sizes.filter(F.col("chars") > max_chars)
+    n_large = large.count()
+    if n_large:
+        df = without_keys(df, large, n_large, keys, order)
     entry = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(value).alias("v"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["v"]), "")
-    return sizes.join(fitting.groupBy(*keys).agg(joined.alias(out)), keys, "left")
+    texts = df.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.sum(F.length(value).cast("bigint")).cast("bigint").alias("chars"), joined.alias(out)
+    )
+    return texts.unionByName(large.withColumn(out, F.lit(None).cast("string"))) if n_large else texts
 
 
 def assemble_bodies(blocks, keys=("project",), max_chars=MAX_CELL_CHARS):
@@ -86,7 +103,7 @@ def task_chars(t):
 def assemble_prompts(bodies, tasks, keys=("project",), templates=Templates()):
     """``task_id, n_files, prompt_chars, prompt``; prompt is null when its body is too large for a cell."""
     t = templates
-    joined = tasks.join(bodies, list(keys), "left")
+    joined = join_wide(tasks, bodies, list(keys))
     body = F.when(F.col("n").isNull(), F.lit("")).otherwise(F.col("body"))
     prompt = F.concat(body, F.lit(t.task_open), F.coalesce("definition", F.lit("")), F.lit(t.task_close))
     return joined.select(
@@ -110,8 +127,13 @@ def prompt_totals(files, tasks, keys=("project",), templates=Templates(), ratio=
 
 
 def file_parts(blocks, keys=("project",)):
-    """Number the files of each group in path order; other columns are carried along."""
-    return number_rows(blocks, list(keys), [paths.parts(F.col("path"))])
+    """Number the files of each group in path order; (keys, path) must be unique.
+
+    Only the paths are ordered. Blocks, or digests of them, meet their number in a join on
+    the unique path, so contents are read once.
+    """
+    keys = list(keys)
+    return join_on(blocks, path_order(blocks.select(*keys, "path"), keys), [*keys, "path"])
 
 
 def prompt_parts(parts, tasks, payload="block", keys=("project",), templates=Templates(), finish=lambda c: c):
@@ -119,10 +141,14 @@ def prompt_parts(parts, tasks, payload="block", keys=("project",), templates=Tem
 
     ``parts`` comes from ``file_parts``; ``finish`` is applied to the three task pieces, so a
     payload that is a digest of the block stays one digest per file and is joined, not recomputed.
+    Files meet tasks slice by slice of the numbered group, so a huge group is spread out.
     """
     t, keys = templates, list(keys)
-    files = tasks.select("task_id", *keys).join(parts, keys).select("task_id", "seq", F.lit("file").alias("kind"), payload)
     counts = parts.groupBy(*keys).agg(F.max("seq").alias("_n"))
+    slices = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / PARTS_PER_SLICE))
+    placed = tasks.join(counts, keys).select("task_id", *keys, F.explode(slices).alias("_slice"))
+    sliced = parts.withColumn("_slice", F.floor((F.col("seq") - 1) / PARTS_PER_SLICE))
+    files = placed.join(sliced, [*keys, "_slice"]).select("task_id", "seq", F.lit("file").alias("kind"), payload)
     pieces = [("header", F.lit(t.task_open)), ("task", F.coalesce("definition", F.lit(""))), ("footer", F.lit(t.task_close))]
     tail = F.explode(
         F.array(
@@ -164,7 +190,7 @@ def task_manifest(files, tasks, totals, remotes=None, keys=("project",), max_cha
     """
     lines = files.select(*keys, "path", F.concat(F.lit("*   `"), F.col("path"), F.lit("`\n")).alias("line"))
     local = join_texts(lines, list(keys), [paths.parts(F.col("path"))], "line", "local_text", max_chars)
-    joined = tasks.join(local.withColumnsRenamed({"n": "n_local", "chars": "local_chars"}), list(keys), "left")
+    joined = join_wide(tasks, local.withColumnsRenamed({"n": "n_local", "chars": "local_chars"}), list(keys))
     if remotes is None:
         joined = joined.withColumns({"n_remote": F.lit(0), "remote_text": F.lit("")})
     else:

@@ -1,11 +1,10 @@
 """Numbers, names and registries."""
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from corpusctx.functions import urls
 from corpusctx.functions.text import slugify
+from corpusctx.operators.joins import join_on
 from corpusctx.operators.ordering import number_rows
 
 # Fixed values of folder names: ``NNN-name``; two digits until number 99 exists, then three.
@@ -93,9 +92,8 @@ def latest_wins(entries, keys, order, value, prior=None):
     latest = entries.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias(value))
     if prior is None:
         return latest
-    before = prior.select(*[F.col(k).alias(f"_p_{k}") for k in keys], F.col(value).alias("_before"))
-    same = [latest[k].eqNullSafe(before[f"_p_{k}"]) for k in keys]
-    return latest.join(before, reduce(lambda a, b: a & b, same), "left").select(
+    before = prior.select(*keys, F.col(value).alias("_before"))
+    return join_on(latest, before, keys, "left").select(
         *keys, value, (~F.col(value).eqNullSafe(F.col("_before"))).alias("changed")
     )
 

@@ -1,10 +1,9 @@
 """Exact row numbers that never put a whole group into one task."""
 
-from functools import reduce
-
 from pyspark.sql import Window, functions as F
 
 from corpusctx.functions import paths
+from corpusctx.operators.joins import checked_broadcast, join_on
 from corpusctx.sources.scratch import materialize
 
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
@@ -18,6 +17,9 @@ def number_rows(df, group, order, out="seq"):
     from the sizes of its earlier partitions, so only one row per group and partition
     passes through a window. The join key holds the partition too and stays even when
     one group owns most rows.
+
+    Finding the ranges samples the input, which runs it twice: pass key columns only and
+    join large payloads to the numbers afterwards.
     """
     keys = [F.col(g) for g in group] + [F.col(o) if isinstance(o, str) else o for o in order]
     placed = materialize(
@@ -30,9 +32,8 @@ def number_rows(df, group, order, out="seq"):
     runs = placed.groupBy(*group, "_part").agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1
-    runs = runs.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_part").alias("_run"), shift.alias("_shift"))
-    same = [placed[g].eqNullSafe(runs[f"_g_{g}"]) for g in group]
-    joined = placed.join(runs, reduce(lambda a, b: a & b, same, placed["_part"] == runs["_run"]))
+    runs = checked_broadcast(runs.select(*group, "_part", shift.alias("_shift")))
+    joined = join_on(placed, runs, [*group, "_part"])
     return joined.select(*df.columns, (F.col("_pos") + F.col("_shift")).cast("bigint").alias(out))
 
 

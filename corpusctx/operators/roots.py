@@ -50,10 +50,8 @@ def search_paths(files, includes, remote_paths=None, root_when_no_local=True):
     ``files`` lists the paths that exist; folders are taken from the distinct parents.
     """
     local = local_includes(includes)
-    found = files.sparkSession.createDataFrame(
-        [(paths.ROOT, "root")] if WHOLE_ROOT in local or (not local and root_when_no_local) else [],
-        "path string, kind string",
-    )
+    whole = WHOLE_ROOT in local or (not local and root_when_no_local)
+    found = files.sparkSession.range(0, int(whole), 1, 1).select(F.lit(paths.ROOT).alias("path"), F.lit("root").alias("kind"))
     globs = [g for g in _globs(includes) if g.pattern != WHOLE_ROOT]
 
     def matching(df, regexes):

@@ -57,6 +57,17 @@ def as_rules(patterns):
     return [p if isinstance(p, Rule) else Rule(p) for p in patterns]
 
 
+def pattern_table(spark, patterns, rule_set):
+    """A rule list as a one-task table: rule_set, ordinal, pattern, any_level."""
+    entries = F.array(
+        *[
+            F.struct(F.lit(i).alias("ordinal"), F.lit(r.pattern).alias("pattern"), F.lit(r.any_level).alias("any_level"))
+            for i, r in enumerate(as_rules(patterns))
+        ]
+    ).cast("array<struct<ordinal:int,pattern:string,any_level:boolean>>")
+    return spark.range(0, 1, 1, 1).select(F.lit(rule_set).alias("rule_set"), F.inline(entries))
+
+
 def _needs_name(pattern, glob):
     """Whether the file name can match although the whole path does not."""
     if pattern.startswith("*") and not set(pattern) & {"\\", "["}:
@@ -108,12 +119,10 @@ def classify_files(files, ignore=(), excludes=()):
     """
     ignore, excludes = list(ignore), as_rules(excludes)
     if len(ignore) + len(excludes) > INLINE_RULES:
-        rows = [("ignore", i, p, False) for i, p in enumerate(ignore)]
-        rows += [("exclude", i, r.pattern, r.any_level) for i, r in enumerate(excludes)]
-        rules = files.sparkSession.createDataFrame(
-            rows, "rule_set string, ordinal int, pattern string, any_level boolean"
-        ).withColumn("_all", F.lit(0))
-        return classify_by_table(files.withColumn("_all", F.lit(0)), rules, ["_all"]).drop("_all")
+        rules = pattern_table(files.sparkSession, as_rules(ignore), "ignore").unionByName(
+            pattern_table(files.sparkSession, excludes, "exclude")
+        )
+        return classify_by_table(files.withColumn("_all", F.lit(0)), rules.withColumn("_all", F.lit(0)), ["_all"]).drop("_all")
     path, name = _slashes(F.col("path")), paths.name(F.col("path"))
     marked = files.withColumn("_ignored", _first((p, ignore_match(path, name, p)) for p in ignore)).withColumn(
         "_excluded", _first((r.pattern, exclude_match(path, name, r)) for r in excludes)

@@ -16,7 +16,9 @@ def intake_tasks(requests, contents):
     ``requests``: task_id, name, inline, task_file, models; ``contents``: task_file, content.
     ``skip_reason`` marks good tasks that are not worth dispatching.
     """
-    joined = requests.join(contents.select("task_file", F.col("content").alias("_text")), "task_file", "left")
+    asked = requests.select("task_file").distinct()
+    contents = contents.select("task_file", F.col("content").alias("_text")).join(asked, "task_file", "left_semi")
+    joined = requests.join(contents, "task_file", "left")
     error = (
         F.when(F.coalesce("name", F.lit("")) == "", "name is required")
         .when(F.col("inline").isNotNull() & F.col("task_file").isNotNull(), "give either a task text or a task file")

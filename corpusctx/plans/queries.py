@@ -44,7 +44,7 @@ def effective_excludes(spark, d):
     docs = inputs.files(spark, d)
     folder = F.concat(paths.folder(F.col("path")), F.lit("/"))
     ending = F.concat(F.lit("*_"), (F.col("doc_id") % 100).cast("string"), F.lit(".md"))
-    builtin = spark.createDataFrame([(p,) for p in selection.DEFAULT_EXCLUDES], "pattern string")
+    builtin = selection.pattern_table(spark, selection.DEFAULT_EXCLUDES, "exclude")
     layers = {
         "builtin": builtin,
         "project": docs.select(F.explode(F.array(folder, F.lit("*.log"))).alias("pattern")),

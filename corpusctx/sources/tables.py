@@ -7,10 +7,12 @@ a lost executor or a repeated batch leaves no mixture behind.
 from pyspark.sql import functions as F
 
 
-def write_run(df, path, run_id, sort=()):
-    """Write one run; ``sort`` range-partitions, so a huge key is spread over many files in order."""
-    if sort:
-        df = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
+# Parts of one task that lie together in a file.
+SLICE = 100_000
+
+
+def write_run(df, path, run_id):
+    """Write one run."""
     df.write.mode("overwrite").parquet(f"{path}/run_id={int(run_id)}")
 
 
@@ -31,8 +33,12 @@ def write_prompts(prompts, path, run_id):
 
 
 def write_prompt_parts(parts, path, run_id):
-    """Parts of a run in task and part order; no task is ever held whole."""
-    write_run(parts, path, run_id, ["task_id", "seq"])
+    """Parts of a run, each slice of a task in order in one file; no task is ever held whole.
+
+    Slices are placed by hash: ordering ranges would have to run the input twice.
+    """
+    placed = parts.repartition("task_id", F.floor((F.col("seq") - 1) / SLICE))
+    write_run(placed.sortWithinPartitions("task_id", "seq"), path, run_id)
 
 
 def write_results(results, path, run_id):

@@ -32,8 +32,9 @@ class ContextRefresh:
             self.templates,
         )
         write_run(sizes, f"{self.path}/sizes", epoch)
-        current = self._current_sizes(spark, epoch)
         touched = spark.read.parquet(f"{self.path}/sizes/run_id={int(epoch)}")
+        projects = touched.select("project").distinct()
+        current = self._current_sizes(spark, epoch, projects)
 
         folders = current.join(touched.select("project", "folder").distinct(), ["project", "folder"], "left_semi")
         write_run(
@@ -41,21 +42,17 @@ class ContextRefresh:
             f"{self.path}/folders",
             epoch,
         )
-        projects = touched.select("project").distinct()
-        sums = (
-            current.join(projects, "project", "left_semi")
-            .groupBy("project")
-            .agg(F.count("*").alias("n_files"), F.sum("block_chars").alias("chars"))
-        )
+        sums = current.groupBy("project").agg(F.count("*").alias("n_files"), F.sum("block_chars").alias("chars"))
         total = (F.col("chars") + task_chars(self.templates)).cast("bigint")
         totals = self.tasks.join(sums, "project").select(
             "task_id", "n_files", total.alias("total_chars"), text.estimate_tokens(total, self.ratio).alias("est_tokens")
         )
         write_run(totals, f"{self.path}/totals", epoch)
 
-    def _current_sizes(self, spark, epoch):
-        """The newest size row of each file up to this epoch."""
+    def _current_sizes(self, spark, epoch, projects):
+        """The newest size row of each file of these projects up to this epoch."""
         runs = read_runs(spark, f"{self.path}/sizes").filter(F.col("run_id") <= int(epoch))
+        runs = runs.join(projects, "project", "left_semi")
         newest = F.max(F.struct("run_id", "folder", "est_tokens", "block_chars")).alias("s")
         return runs.groupBy("project", "path").agg(newest).select("project", "path", "s.folder", "s.est_tokens", "s.block_chars")
 

@@ -353,3 +353,24 @@ def test_costs(rows):
     done = rows([(1, "Done", 0.1), (1, "Done", 0.2), (1, "Error", 5.0), (2, "Error", 1.0), (1, "Queued", 9.0)], "task_id int, status string, cost double")
     got = {r.task_id: (r.n_done, r.n_error, str(r.total_cost)) for r in results.run_costs(done).collect()}
     assert got == {1: (2, 1, "0.300000"), 2: (0, 1, "0.000000")}
+
+
+def test_hot_keys_in_joins(rows, monkeypatch):
+    """Slices, copies and salts change where rows meet, not what comes out."""
+    from corpusctx.operators import joins
+
+    files = rows([("p" if i % 3 else "q", f"d/{i}", "x" * (i % 7)) for i in range(300)], "project string, path string, content string")
+    tasks = rows([(i, f"do {i}", "p" if i % 5 else "q", ["m"]) for i in range(120)], "task_id bigint, definition string, project string, models array<string>")
+    blocks = assemble.project_blocks(files)
+
+    def outputs():
+        parts = assemble.prompt_parts(assemble.file_parts(blocks), tasks)
+        prompts = assemble.assemble_prompts(assemble.assemble_bodies(blocks, max_chars=3500), tasks)
+        return {tuple(r) for r in parts.collect()}, {tuple(r) for r in prompts.collect()}
+
+    plain = outputs()
+    monkeypatch.setattr(assemble, "PARTS_PER_SLICE", 9)
+    monkeypatch.setattr(joins, "TASKS_PER_COPY", 4)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    assert outputs() == plain
+    assert {r[3] is None for r in plain[1]} == {True, False}

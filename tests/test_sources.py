@@ -73,15 +73,17 @@ def test_results_are_keyed_by_raw_model_name(spark, tmp_path):
     assert got == {("a/b", "x"), ("a:b", "z")}
 
 
-def test_parts_are_written_in_order(spark, tmp_path):
+def test_parts_are_written_slice_by_slice(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "SLICE", 100)
     path = str(tmp_path / "parts")
-    parts = spark.range(2000).select((F.col("id") % 3).alias("task_id"), F.col("id").alias("seq"), F.lit("x").alias("block"))
+    parts = spark.range(2000).select((F.col("id") % 3).alias("task_id"), (F.floor(F.col("id") / 3) + 1).alias("seq"), F.lit("x").alias("block"))
     tables.write_prompt_parts(parts.repartition(5), path, 7)
-    latest = tables.read_latest(spark, path, ["task_id"])
-    assert latest.count() == 2000
+    assert tables.read_latest(spark, path, ["task_id"]).count() == 2000
     written = spark.read.parquet(path + "/run_id=7").withColumn("file", F.input_file_name())
-    spans = written.groupBy("file").agg(F.min(F.struct("task_id", "seq")).alias("lo"), F.max(F.struct("task_id", "seq")).alias("hi")).orderBy("lo").collect()
-    assert all(a.hi < b.lo for a, b in zip(spans, spans[1:]))
+    slices = written.groupBy("task_id", F.floor((F.col("seq") - 1) / 100).alias("s")).agg(F.countDistinct("file").alias("files"))
+    assert slices.agg(F.max("files")).first()[0] == 1
+    rows = written.withColumn("at", F.monotonically_increasing_id()).orderBy("at").collect()
+    assert all((a.task_id, a.seq) < (b.task_id, b.seq) for a, b in zip(rows, rows[1:]) if a.file == b.file)
 
 
 def test_scratch_is_the_session_folder(spark):
