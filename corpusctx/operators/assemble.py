@@ -71,6 +71,21 @@ def text_sizes(df, keys, value):
     )
 
 
+def slice_join(tasks, numbered, keys, columns):
+    """Tasks with the numbered rows (``seq``) of their group, met slice by slice of the group."""
+    counts = numbered.groupBy(*keys).agg(F.max("seq").alias("_n"))
+    slices = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / PARTS_PER_SLICE))
+    placed = tasks.join(counts, keys).select("task_id", *keys, F.explode(slices).alias("_slice"))
+    sliced = numbered.withColumn("_slice", F.floor((F.col("seq") - 1) / PARTS_PER_SLICE))
+    return placed.join(sliced, [*keys, "_slice"]).select("task_id", *columns)
+
+
+def task_files(tasks, files, keys=("project",)):
+    """The files of each task with their place in its prompt: task_id and the columns of ``files``."""
+    keys = list(keys)
+    return slice_join(tasks, path_order(files, keys), keys, [c for c in files.columns if c != "task_id"] + ["seq"])
+
+
 def join_texts(df, keys, order, value, out, max_chars=MAX_CELL_CHARS, sizes=None):
     """Ordered concatenation of ``value`` per group: ``keys, n, chars, out``.
 
@@ -145,10 +160,7 @@ def prompt_parts(parts, tasks, payload="block", keys=("project",), templates=Tem
     """
     t, keys = templates, list(keys)
     counts = parts.groupBy(*keys).agg(F.max("seq").alias("_n"))
-    slices = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / PARTS_PER_SLICE))
-    placed = tasks.join(counts, keys).select("task_id", *keys, F.explode(slices).alias("_slice"))
-    sliced = parts.withColumn("_slice", F.floor((F.col("seq") - 1) / PARTS_PER_SLICE))
-    files = placed.join(sliced, [*keys, "_slice"]).select("task_id", "seq", F.lit("file").alias("kind"), payload)
+    files = slice_join(tasks, parts, keys, ["seq", F.lit("file").alias("kind"), payload])
     pieces = [("header", F.lit(t.task_open)), ("task", F.coalesce("definition", F.lit(""))), ("footer", F.lit(t.task_close))]
     tail = F.explode(
         F.array(

@@ -2,7 +2,8 @@
 
 from functools import reduce
 
-from pyspark.sql import functions as F
+import pandas as pd
+from pyspark.sql import functions as F, types as T
 
 from corpusctx.functions import paths
 from corpusctx.functions.globs import compile_segments
@@ -44,6 +45,35 @@ def expand_includes(files, includes):
     return files.withColumn("first_pattern", F.coalesce(*hits)).filter(F.col("first_pattern").isNotNull())
 
 
+_MEMBERS = T.StringType()
+
+
+@F.pandas_udf(_MEMBERS)
+def _members(patterns: pd.Series) -> pd.Series:
+    return patterns.map(lambda p: compile_segments(p).members)
+
+
+def expand_by_table(files, includes, by=("task_id",)):
+    """``expand_includes`` with patterns from a table (by, ordinal, pattern), matched on the ``by`` columns.
+
+    Each group's patterns become one row; a file keeps one row and its first pattern.
+    Unusable and remote patterns match nothing.
+    """
+    by = list(by)
+    local = includes.filter(~is_remote(F.col("pattern"))).withColumn("members", _members("pattern"))
+    entry = F.struct("ordinal", "pattern", "members")
+    books = local.filter(F.col("members").isNotNull()).groupBy(*by).agg(
+        F.array_sort(F.collect_list(entry)).alias("_includes")
+    )
+    first = F.aggregate(
+        "_includes",
+        F.lit(None).cast("string"),
+        lambda found, i: F.coalesce(found, F.when(F.rlike(F.col("path"), i["members"]), i["pattern"])),
+    )
+    joined = files.join(books, by).withColumn("first_pattern", first)
+    return joined.filter(F.col("first_pattern").isNotNull()).drop("_includes")
+
+
 def search_paths(files, includes, remote_paths=None, root_when_no_local=True):
     """Distinct places to look: ``path, kind`` with kind root, glob or remote.
 

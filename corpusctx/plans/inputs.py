@@ -81,6 +81,32 @@ def tasks(spark, sf_dir):
     )
 
 
+def task_rules(spark, sf_dir):
+    """Each task's own ignore and exclude patterns."""
+    item = F.col("item_id")
+    rule = lambda rule_set, ordinal, pattern: F.struct(
+        F.lit(rule_set).alias("rule_set"), F.lit(ordinal).alias("ordinal"), pattern.alias("pattern")
+    )
+    rules = F.array(
+        rule("ignore", 1, _text("doc_*", (item % 10).cast("string"), ".md")),
+        rule("exclude", 1, _text("*/", F.when(item % 2 == 0, "en").otherwise("de"), "/doc_[2-4]*")),
+        rule("exclude", 2, _text("src", (item % 20).cast("string"), "/fr/")),
+    )
+    return table(spark, sf_dir, "benchmark").select(item.alias("task_id"), F.inline(rules))
+
+
+def task_includes(spark, sf_dir):
+    """Each task's own include patterns; some are remote or unusable."""
+    item = F.col("item_id")
+    project = _text("src", (item % 20).cast("string"))
+    patterns = F.array(
+        _text(project, "/e?/*1*.md"),
+        F.when(item % 3 == 0, _text("**/fr")).when(item % 3 == 1, "/abs").otherwise("https://h/r"),
+        F.when(item % 4 == 0, _text(project, "/de/")).otherwise(_text(project, "/d[!x]/doc_2*")),
+    )
+    return table(spark, sf_dir, "benchmark").select(item.alias("task_id"), F.posexplode(patterns).alias("ordinal", "pattern"))
+
+
 def task_requests(spark, sf_dir):
     item = F.col("item_id")
     return table(spark, sf_dir, "benchmark").select(

@@ -156,6 +156,21 @@ def conversations_joined(spark, d):
     )
 
 
+def _task_files(spark, d):
+    return assemble.task_files(inputs.tasks(spark, d), inputs.corpus(spark, d).drop("content"))
+
+
+def task_files(spark, d):
+    return _task_files(spark, d).select("task_id", "path", "seq")
+
+
+def task_selection(spark, d):
+    """Every task with its own include and rule lists."""
+    chosen = roots.expand_by_table(_task_files(spark, d), inputs.task_includes(spark, d))
+    classified = selection.classify_by_table(chosen, inputs.task_rules(spark, d), ["task_id"])
+    return classified.select("task_id", "path", "first_pattern", "verdict", "first_rule")
+
+
 def prompt_totals(spark, d):
     return assemble.prompt_totals(_selected(spark, d), inputs.tasks(spark, d))
 
@@ -311,7 +326,7 @@ QUERIES = {
         files_classified, files_classified_by_project, selection_counts, rules_parsed, effective_excludes,
         includes_expanded, includes_split, search_paths, roots_kept, files_under_roots, doc_tokens, tokens_by_ratio,
         paths_relative, folder_tokens, top_folders, path_order, blocks, prompt_parts, prompts, conversations_joined,
-        prompt_totals, task_manifest, tasks_intake, slugs, result_names, sources_normalized, registry_resolved,
+        task_files, task_selection, prompt_totals, task_manifest, tasks_intake, slugs, result_names, sources_normalized, registry_resolved,
         folder_mapping, next_numbers, params_typed, params_split, params_latest, overrides, settings_resolved,
         dispatch_plan, requests, responses_parsed, lookups, attempts_resolved, usage_joined, results_final, run_costs,
         secrets_masked, latest_status, run_progress, context_by_source,

@@ -1,27 +1,7 @@
-"""Session defaults, and shipping of this package to the workers."""
-
-import tempfile
-import zipfile
-from pathlib import Path
+"""Session defaults for running the library outside a managed cluster."""
 
 from pyspark.sql import SparkSession
 
-_SHIPPED = set()
-
-
-def ship_package(spark):
-    """Make this package importable in Python workers, once per application."""
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    package = Path(__file__).parent
-    archive = Path(tempfile.mkdtemp(prefix="corpusctx-pkg-")) / "corpusctx.zip"
-    with zipfile.ZipFile(archive, "w") as target:
-        for module in package.rglob("*.py"):
-            target.write(module, module.relative_to(package.parent))
-    context.addPyFile(str(archive))
-    _SHIPPED.add(context.applicationId)
-
 
 def local_session(cores="*", app="corpusctx", **conf):
     """A local session for tests and benches; a cluster brings its own session."""
@@ -32,11 +12,12 @@ def local_session(cores="*", app="corpusctx", **conf):
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        # The JVM does not compile longer methods; Spark then runs the stage in smaller ones.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.driver.memory", "12g")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ship_package(spark)
     return spark

@@ -26,6 +26,11 @@ def run_progress(status):
     )
 
 
+def order_models(status):
+    """A status table in the order it is shown: by run, then model name."""
+    return status.orderBy("run", "model")
+
+
 def start_status(events, path, checkpoint, available_now=True, keys=("run", "model")):
     """Keep the status table at ``path`` up to date; read it with ``read_latest(spark, path, keys)``."""
 
