@@ -108,7 +108,7 @@ def join_texts(df, keys, order, value, out, max_chars=MAX_CELL_CHARS, sizes=None
 
 def assemble_bodies(blocks, keys=("project",), max_chars=MAX_CELL_CHARS):
     """One text per group: blocks in path order. Tasks over the same files share it."""
-    return join_texts(blocks, list(keys), [paths.parts(F.col("path"))], "block", "body", max_chars)
+    return join_texts(blocks, list(keys), [paths.order_key(F.col("path"))], "block", "body", max_chars)
 
 
 def task_chars(t):
@@ -201,7 +201,7 @@ def task_manifest(files, tasks, totals, remotes=None, keys=("project",), max_cha
     cell leave ``sources_text`` null; ``n_sources`` is always whole.
     """
     lines = files.select(*keys, "path", F.concat(F.lit("*   `"), F.col("path"), F.lit("`\n")).alias("line"))
-    local = join_texts(lines, list(keys), [paths.parts(F.col("path"))], "line", "local_text", max_chars)
+    local = join_texts(lines, list(keys), [paths.order_key(F.col("path"))], "line", "local_text", max_chars)
     joined = join_wide(tasks, local.withColumnsRenamed({"n": "n_local", "chars": "local_chars"}), list(keys))
     if remotes is None:
         joined = joined.withColumns({"n_remote": F.lit(0), "remote_text": F.lit("")})

@@ -25,11 +25,11 @@ def folder_tokens(files, by=("project",), ratio=text.DEFAULT_RATIO):
     return (
         doc_tokens(files, ratio)
         .groupBy(*by, "folder")
-        .agg(F.sum("est_tokens").cast("bigint").alias("tokens"), F.min(paths.parts(F.col("path"))).alias("first_parts"))
+        .agg(F.sum("est_tokens").cast("bigint").alias("tokens"), F.min(paths.order_key(F.col("path"))).alias("first_path"))
     )
 
 
 def top_folders(folders, by=("project",), k=5):
     """The k largest folders of each group; ties go to the folder met first in path order."""
-    largest = Window.partitionBy(*by).orderBy(F.col("tokens").desc(), F.col("first_parts"))
+    largest = Window.partitionBy(*by).orderBy(F.col("tokens").desc(), F.col("first_path"))
     return folders.withColumn("rank", F.row_number().over(largest)).filter(F.col("rank") <= k)

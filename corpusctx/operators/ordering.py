@@ -21,11 +21,11 @@ def number_rows(df, group, order, out="seq"):
     Finding the ranges samples the input, which runs it twice: pass key columns only and
     join large payloads to the numbers afterwards.
     """
-    keys = [F.col(g) for g in group] + [F.col(o) if isinstance(o, str) else o for o in order]
-    placed = materialize(
-        df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()),
-        "ordered",
-    )
+    # Order expressions become columns first: a sort evaluates its expressions at every comparison.
+    computed = {f"_o{i}": o for i, o in enumerate(order) if not isinstance(o, str)}
+    keys = [*group, *[o if isinstance(o, str) else f"_o{i}" for i, o in enumerate(order)]]
+    ordered = df.withColumns(computed).repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*computed)
+    placed = materialize(ordered.withColumn("_at", F.monotonically_increasing_id()), "ordered")
     placed = placed.withColumn("_part", F.shiftright("_at", _POSITION_BITS)).withColumn(
         "_pos", F.col("_at").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
     )
@@ -39,4 +39,4 @@ def number_rows(df, group, order, out="seq"):
 
 def path_order(files, group=("project",), out="seq"):
     """Position of each file in its group, paths compared component by component."""
-    return number_rows(files, list(group), [paths.parts(F.col("path"))], out)
+    return number_rows(files, list(group), [paths.order_key(F.col("path"))], out)
