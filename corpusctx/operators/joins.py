@@ -38,6 +38,17 @@ def without_keys(df, dropped, n_dropped, keys, spread):
     return join_on(salted, copies, [*keys, "_salt"], "left_anti").drop("_salt")
 
 
+def join_sparse(left, right, key, spread):
+    """Left join on a key that many left rows lack.
+
+    Rows without the key match nothing; each gets a join key of its own from ``spread``, so
+    they do not all meet in one task.
+    """
+    own = F.concat(F.lit("k"), F.col(key).cast("string"))
+    placed = left.withColumn("_key", F.coalesce(own, F.concat(F.lit("-"), F.col(spread).cast("string"))))
+    return placed.join(right.withColumn("_key", own).drop(key), "_key", "left").drop("_key")
+
+
 def join_wide(tasks, wide, keys):
     """Left join of tasks to one wide row per key, with a copy of that row per ``TASKS_PER_COPY`` tasks.
 

@@ -28,7 +28,9 @@ def read_response_log(df, raw="raw"):
         .when(choices == 0, NO_CHOICES)
         .when(text("$.choices[0].message.content").isNull(), EMPTY_CONTENT)
     )
-    rest = [c for c in df.columns if c != raw]
+    if "error" in df.columns:  # the request itself failed
+        error = F.coalesce("error", error)
+    rest = [c for c in df.columns if c not in (raw, "error")]
     return parsed.select(
         *rest,
         text("$.choices[0].message.content").alias("content"),
