@@ -106,9 +106,22 @@ def join_texts(df, keys, order, value, out, max_chars=MAX_CELL_CHARS, sizes=None
     return texts.unionByName(large.withColumn(out, F.lit(None).cast("string"))) if n_large else texts
 
 
-def assemble_bodies(blocks, keys=("project",), max_chars=MAX_CELL_CHARS):
+def stored_sizes(files, keys=("project",), chars="n_chars", templates=Templates()):
+    """Sizes for ``assemble_bodies`` from a stored character count, so contents are read only once.
+
+    They decide which groups are too large; a count taken before line ends were unified is
+    good enough, as it can only be larger.
+    """
+    t = templates
+    frame = F.length("path") + F.lit(len(t.file_open) + len(t.file_head) + len(t.file_close))
+    return files.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.sum(F.col(chars) + frame).cast("bigint").alias("chars")
+    )
+
+
+def assemble_bodies(blocks, keys=("project",), max_chars=MAX_CELL_CHARS, sizes=None):
     """One text per group: blocks in path order. Tasks over the same files share it."""
-    return join_texts(blocks, list(keys), [paths.order_key(F.col("path"))], "block", "body", max_chars)
+    return join_texts(blocks, list(keys), [paths.order_key(F.col("path"))], "block", "body", max_chars, sizes)
 
 
 def task_chars(t):

@@ -29,7 +29,7 @@ def _string(col):
 def files(spark, sf_dir):
     path = _text(F.col("source"), "/", F.col("lang"), "/doc_", _string("doc_id"), ".md")
     return table(spark, sf_dir, "documents").select(
-        F.col("source").alias("project"), path.alias("path"), F.col("text").alias("content"), "doc_id", "lang"
+        F.col("source").alias("project"), path.alias("path"), F.col("text").alias("content"), "doc_id", "lang", "n_chars"
     )
 
 

@@ -139,9 +139,14 @@ def prompt_parts(spark, d):
     )
 
 
+def _bodies(spark, d):
+    listed = inputs.files(spark, d).select("project", "path", "n_chars")
+    listed = selection.included(selection.classify_files(listed, inputs.IGNORE, inputs.EXCLUDES))
+    return assemble.assemble_bodies(assemble.project_blocks(_selected(spark, d)), sizes=assemble.stored_sizes(listed))
+
+
 def _prompts(spark, d):
-    bodies = assemble.assemble_bodies(assemble.project_blocks(_selected(spark, d)))
-    return assemble.assemble_prompts(bodies, inputs.tasks(spark, d))
+    return assemble.assemble_prompts(_bodies(spark, d), inputs.tasks(spark, d))
 
 
 def prompts(spark, d):
@@ -313,8 +318,7 @@ def run_progress(spark, d):
 
 def context_by_source(spark, d):
     """Flagship: the assembled context of every source."""
-    joined = assemble.assemble_bodies(assemble.project_blocks(_selected(spark, d)))
-    return joined.select(
+    return _bodies(spark, d).select(
         F.col("project").alias("source"), F.col("n").alias("n_files"), F.col("chars").alias("n_chars"),
         text.estimate_tokens(F.col("chars")).alias("est_tokens"), text.sha256(F.col("body")).alias("prompt_sha256"),
     )

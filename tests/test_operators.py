@@ -175,6 +175,11 @@ def test_oversized_prompts_keep_counts_and_parts(rows):
     expected = expected_prompts()
     assert got[1].prompt is None and got[1].prompt_chars == len(expected[1]) and got[1].n_files == 3
     assert got[2].prompt == expected[2] and got[3].prompt == expected[3]
+    stored = files.withColumn("n_chars", F.coalesce(F.length("content"), F.lit(60)))
+    for limit, whole in ((300, True), (110, False)):
+        bodies = assemble.assemble_bodies(assemble.project_blocks(files), max_chars=limit, sizes=assemble.stored_sizes(stored))
+        got = {r.task_id: r.prompt for r in assemble.assemble_prompts(bodies, tasks).collect()}
+        assert (got[1] == expected[1]) is whole and got[2] == expected[2]
 
 
 def test_folder_tokens(rows):
