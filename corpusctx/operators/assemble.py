@@ -24,11 +24,13 @@ PARTS_PER_SLICE = 100_000
 class Templates:
     """Wording around contents; every piece can be replaced."""
 
+    # The frames of a file block and of a file that could not be read.
     file_open: str = "## Source: "
     file_head: str = "\n\n"
     file_close: str = "\n\n---\n\n"
     error_open: str = "```\n--- ERROR READING FILE ---\nError reading "
     error_close: str = "\n```"
+    # Own wording around the task text.
     task_open: str = "\n======\n\n# Current task\n\nFollow the instructions below; everything above is context.\n\n"
     task_close: str = "\n\n------\n\n# Answer format\n\nAnswer in plain Markdown and put full link addresses in the text.\n"
 

@@ -4,8 +4,6 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from corpusctx.sources.scratch import materialize
-
 # A key set up to this many rows may be broadcast; it is counted before the hint is given.
 BROADCAST_ROWS = 100_000
 SALTS = 256
@@ -19,12 +17,6 @@ def join_on(left, right, keys, how="inner"):
     return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
-def checked_broadcast(df):
-    """``df``, written once and counted, with a broadcast hint when it is small enough."""
-    df = materialize(df, "side")
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def without_keys(df, dropped, n_dropped, keys, spread):
     """Rows of ``df`` whose key is not in ``dropped`` (distinct keys, ``n_dropped`` of them, counted).
 

@@ -3,7 +3,7 @@
 from pyspark.sql import Window, functions as F
 
 from corpusctx.functions import paths
-from corpusctx.operators.joins import checked_broadcast, join_on
+from corpusctx.operators.joins import join_on
 from corpusctx.sources.scratch import materialize
 
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
@@ -32,7 +32,8 @@ def number_rows(df, group, order, out="seq"):
     runs = placed.groupBy(*group, "_part").agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1
-    runs = checked_broadcast(runs.select(*group, "_part", shift.alias("_shift")))
+    # Written, so the planner knows its true size and broadcasts it only when small.
+    runs = materialize(runs.select(*group, "_part", shift.alias("_shift")), "runs")
     joined = join_on(placed, runs, [*group, "_part"])
     return joined.select(*df.columns, (F.col("_pos") + F.col("_shift")).cast("bigint").alias(out))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F, types as T
 from corpusctx.functions import paths
 from corpusctx.functions.globs import compile_segments
 from corpusctx.functions.urls import REMOTE_PREFIXES, is_remote
+from corpusctx.sources.scratch import materialize
 
 # Fixed value: the include that stands for the project root.
 WHOLE_ROOT = "./"
@@ -70,7 +71,7 @@ def expand_by_table(files, includes, by=("task_id",)):
         F.lit(None).cast("string"),
         lambda found, i: F.coalesce(found, F.when(F.rlike(F.col("path"), i["members"]), i["pattern"])),
     )
-    joined = files.join(books, by).withColumn("first_pattern", first)
+    joined = files.join(materialize(books, "includes"), by).withColumn("first_pattern", first)
     return joined.filter(F.col("first_pattern").isNotNull()).drop("_includes")
 
 

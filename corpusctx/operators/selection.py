@@ -7,6 +7,7 @@ from pyspark.sql import functions as F, types as T
 
 from corpusctx.functions import paths
 from corpusctx.functions.globs import GLOB_TESTS, compile_glob, glob_test
+from corpusctx.sources.scratch import materialize
 
 # Patterns excluded unless told otherwise.
 DEFAULT_EXCLUDES = [
@@ -169,7 +170,8 @@ def classify_by_table(files, rules, by=("project",)):
 
     Rules: ``by``, rule_set (``ignore``/``exclude``), ordinal, pattern and optionally
     any_level. Each group's rules become one row, so the join keeps one output row per
-    file and needs no regroup; Spark broadcasts that side while it is small.
+    file and needs no regroup. That side is written first: the planner then knows its true
+    size and moves the files only when it is too large to broadcast.
     """
     by = list(by)
     if "any_level" not in rules.columns:
@@ -198,7 +200,7 @@ def classify_by_table(files, rules, by=("project",)):
         )
 
     marked = (
-        files.join(books, by, "left")
+        files.join(materialize(books, "rules"), by, "left")
         .withColumn("_ignored", first(F.col("_ignore_rules")))
         .withColumn("_excluded", first(F.col("_exclude_rules")))
         .drop("_ignore_rules", "_exclude_rules")
