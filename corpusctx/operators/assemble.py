@@ -95,11 +95,13 @@ def join_texts(df, keys, order, value, out, max_chars=MAX_CELL_CHARS, sizes=None
     never reach the collecting aggregate nor its shuffle: they keep their counts and a null
     text, and stay available row by row.
     """
-    sizes = materialize(text_sizes(df, keys, value) if sizes is None else sizes, "sizes")
-    large = sizes.filter(F.col("chars") > max_chars)
-    n_large = large.count()
+    sizes = text_sizes(df, keys, value) if sizes is None else sizes
+    probe = sizes.select(*keys, "n", "chars").filter(F.col("chars") > max_chars).persist()
+    n_large = probe.count()
     if n_large:
+        large = materialize(probe, "large")
         df = without_keys(df, large, n_large, keys, order)
+    probe.unpersist()
     entry = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(value).alias("v"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["v"]), "")
     texts = df.groupBy(*keys).agg(

@@ -14,8 +14,15 @@ PARAM_KEYS = {"view": "temperature", "click": "timeout", "signup": "top_p", "pur
 STATES = {"view": "Waiting", "click": "Queued", "signup": "Sending", "purchase": "Done"}
 
 
+_SCHEMAS = {}
+
+
 def table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the given tables; its schema is looked up in the file once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _text(*pieces):
