@@ -13,6 +13,9 @@ from corpusctx.sources.scratch import materialize
 # Fixed value: the include that stands for the project root.
 WHOLE_ROOT = "./"
 
+# Join keys the top folder is split into.
+TOP_KEYS = 256
+
 
 def split_local_remote(includes_df, include="include"):
     """Add ``is_remote`` to a table of includes."""
@@ -54,24 +57,24 @@ def _members(patterns: pd.Series) -> pd.Series:
     return patterns.map(lambda p: compile_segments(p).members)
 
 
-def expand_by_table(files, includes, by=("task_id",)):
+def expand_by_table(files, includes, by=("task_id",), root_when_no_local=True):
     """``expand_includes`` with patterns from a table (by, ordinal, pattern), matched on the ``by`` columns.
 
     Each group's patterns become one row; a file keeps one row and its first pattern.
-    Unusable and remote patterns match nothing.
+    Unusable patterns match nothing. A group without any local pattern takes every file.
     """
     by = list(by)
     local = includes.filter(~is_remote(F.col("pattern"))).withColumn("members", _members("pattern"))
-    entry = F.struct("ordinal", "pattern", "members")
-    books = local.filter(F.col("members").isNotNull()).groupBy(*by).agg(
-        F.array_sort(F.collect_list(entry)).alias("_includes")
-    )
-    first = F.aggregate(
+    entry = F.when(F.col("members").isNotNull(), F.struct("ordinal", "pattern", "members"))
+    books = local.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("_includes"))
+    found = F.aggregate(
         "_includes",
         F.lit(None).cast("string"),
         lambda found, i: F.coalesce(found, F.when(F.rlike(F.col("path"), i["members"]), i["pattern"])),
     )
-    joined = files.join(materialize(books, "includes"), by).withColumn("first_pattern", first)
+    whole = F.when(F.col("_includes").isNull() & F.lit(root_when_no_local), F.lit(WHOLE_ROOT))
+    joined = files.join(materialize(books, "includes"), by, "left" if root_when_no_local else "inner")
+    joined = joined.withColumn("first_pattern", F.coalesce(whole, found))
     return joined.filter(F.col("first_pattern").isNotNull()).drop("_includes")
 
 
@@ -101,15 +104,33 @@ def search_paths(files, includes, remote_paths=None, root_when_no_local=True):
     return found.distinct()
 
 
+def _spread_top(folder, path):
+    """Join key of a folder above ``path``; the top, above everything, is split over many keys."""
+    slot = F.pmod(F.xxhash64(path), F.lit(TOP_KEYS)).cast("string")
+    return F.when(folder == paths.ROOT, F.concat(F.lit(WHOLE_ROOT), slot)).otherwise(folder)
+
+
+def _with_keys(roots):
+    """Roots with the keys under which paths look for them."""
+    slots = F.transform(F.sequence(F.lit(0), F.lit(TOP_KEYS - 1)), lambda i: F.concat(F.lit(WHOLE_ROOT), i.cast("string")))
+    return roots.select("root", F.explode(F.when(F.col("root") == paths.ROOT, slots).otherwise(F.array("root"))).alias("_key"))
+
+
 def drop_covered_roots(roots):
     """Distinct roots that lie under no other root; an anti join on exploded ancestors."""
     roots = roots.select("root").distinct()
-    above = roots.select("root", F.explode(paths.ancestors(F.col("root"))).alias("_above"))
-    covered = above.join(roots.select(F.col("root").alias("_above")), "_above", "left_semi").select("root")
+    keys = F.transform(paths.ancestors(F.col("root")), lambda a: _spread_top(a, F.col("root")))
+    above = roots.select("root", F.explode(keys).alias("_key"))
+    covered = above.join(_with_keys(roots).select("_key"), "_key", "left_semi").select("root")
     return roots.join(covered, "root", "left_anti")
 
 
 def files_under_roots(files, roots):
-    """Files at or below a root, with that root; roots must not cover one another."""
-    places = files.withColumn("root", F.explode(paths.self_and_ancestors(F.col("path"))))
-    return places.join(roots.select("root"), "root").select(*files.columns, "root")
+    """Files at or below a root, with that root; roots must not cover one another.
+
+    An equi join on each file's own path and ancestors: without a shuffle while the roots
+    are small, else with Spark splitting the keys of crowded folders.
+    """
+    keys = F.transform(paths.self_and_ancestors(F.col("path")), lambda a: _spread_top(a, F.col("path")))
+    places = files.withColumn("_key", F.explode(keys))
+    return places.join(_with_keys(roots), "_key").select(*files.columns, "root")

@@ -107,6 +107,19 @@ def test_search_paths(rows):
     assert roots.include_problems(["/bad", "ok", "x**"]).keys() == {"/bad", "x**"}
 
 
+def test_includes_per_task(rows):
+    files = rows([(t, f) for t in (1, 2, 3, 4) for f in ("a/x.py", "a/b/y.py", "top.md")], "task_id int, path string")
+    includes = rows([(1, 0, "*.md"), (1, 1, "a/b"), (2, 0, "https://h/r"), (3, 0, "/bad")], "task_id int, ordinal int, pattern string")
+
+    def found(**more):
+        return {tuple(r) for r in roots.expand_by_table(files, includes, **more).select("task_id", "path", "first_pattern").collect()}
+
+    own = {(1, "top.md", "*.md"), (1, "a/b/y.py", "a/b")}
+    whole = {(t, f, "./") for t in (2, 4) for f in ("a/x.py", "a/b/y.py", "top.md")}
+    assert found() == own | whole
+    assert found(root_when_no_local=False) == own
+
+
 def test_numbering_of_a_hot_group(spark, rows):
     """One group spans many partitions; numbers stay exact and do not depend on input order."""
     rnd = random.Random(3)
