@@ -20,10 +20,10 @@ def tables():
 
 
 def test_every_query_has_sql():
-    assert contract.queries().keys() == contract.oracle_sql().keys()
+    assert contract.QUERIES.keys() <= contract.oracle_sql().keys()
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(contract.oracle_sql()))
 def test_query_equals_sql(spark, tables, name):
     df = contract.queries()[name](spark, SF)
     columns = sorted(df.columns)
