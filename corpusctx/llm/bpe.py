@@ -22,7 +22,8 @@ from pyspark import SparkFiles
 from pyspark.sql import functions as F
 
 from corpusctx.llm.arrow import SLICE_BYTES, byte_view, column_udf, slices
-from corpusctx.sources.scratch import scratch_dir
+from corpusctx.llm.bounded import most_frequent
+from corpusctx.sources.scratch import materialize, scratch_dir
 
 LEXICON_WORDS = 1 << 17
 CACHED_WORDS = 400_000
@@ -421,7 +422,7 @@ def build_lexicon(docs, vocabulary, text_col="text", max_words=LEXICON_WORDS):
     """
     spark = docs.sparkSession
     counts = word_counts(docs, vocabulary, text_col).where((F.col("n") > 1) & (F.octet_length("word") <= 64))
-    top = counts.orderBy(F.desc("n"), "word").limit(max_words).collect()
+    top = most_frequent(materialize(counts, "words"), max_words).collect()
     name = f"lexicon-{uuid.uuid4().hex}"
     jvm, target = spark.sparkContext._jvm, f"{scratch_dir(spark)}/{name}"
     path = jvm.org.apache.hadoop.fs.Path(target)

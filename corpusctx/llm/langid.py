@@ -11,12 +11,16 @@ spans of a bounded sample of them. A text that is null or has no letter is ``und
 and so is every text when there are no labelled rows.
 """
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from corpusctx.llm.arrow import byte_view, column_udf, slices
-from corpusctx.llm.shingles import Words, mix
+from corpusctx.llm.bounded import hashed_sample, most_frequent
+from corpusctx.llm.shingles import Words
+from corpusctx.sources.scratch import materialize
 
 UNKNOWN = "und"
 BITS = 16
@@ -277,21 +281,18 @@ def fit(docs, lang_col="lang", text_col="text", id_col="doc_id"):
     counts = lexicon_counts(train.where(F.col("lang").isin(languages)), languages)
     columns = [F.col(f"c{i}") for i in range(len(languages))]
     total = sum(columns[1:], columns[0])
-    lexicon = counts.where(total > 1).orderBy(total.desc(), "word").limit(LEXICON_WORDS).toPandas()  # at most LEXICON_WORDS rows
+    counts = materialize(counts.withColumn("n", total).where("n > 1"), "words")
+    lexicon = most_frequent(counts, LEXICON_WORDS).toPandas()  # at most LEXICON_WORDS rows
     n = lexicon[[f"c{i}" for i in range(len(languages))]].to_numpy(float)
     rate = (n + 0.5) / (n.sum(axis=0) + 0.5 * max(len(n), 1))
     odds = np.log(rate) - np.log(rate).mean(axis=1, keepdims=True)
     hashes = lexicon.word.to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     share = max(MAX_TRAIN // len(languages), 8)
-    sample = []
-    for name in languages:  # MAX_LANGUAGES at most
-        ids = train.where((F.col("lang") == name) & (F.octet_length("text") <= TRAIN_BYTES)).select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(share)
-        sample.append(ids.select("doc_id"))
-    ids = sample[0]
-    for more in sample[1:]:
-        ids = ids.union(more)
-    rows = train.join(F.broadcast(ids.distinct()), "doc_id").where(F.octet_length("text") <= TRAIN_BYTES).select("lang", "text").collect()
+    sized = train.where(F.octet_length("text") <= TRAIN_BYTES)
+    sample = [hashed_sample(sized.where(F.col("lang") == name).select("doc_id"), share) for name in languages]  # MAX_LANGUAGES at most
+    ids = reduce(DataFrame.union, sample).distinct()
+    rows = train.join(F.broadcast(ids), "doc_id").where(F.octet_length("text") <= TRAIN_BYTES).select("lang", "text").collect()
     number = {x: i for i, x in enumerate(languages)}
     rows = [r for r in rows if r.lang in number]
     return _train(languages, hashes[order], odds[order].astype(np.float32), [r.text for r in rows], [number[r.lang] for r in rows])

@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from corpusctx.llm.arrow import byte_view, column_udf, slices
+from corpusctx.llm.arrow import byte_view, column_udf
+from corpusctx.llm.bounded import hashed_sample
 
 ORDERS = (3, 4, 5)
 BITS = 18
@@ -158,7 +159,7 @@ def fit(docs, labels, label_col="toxic", text_col="text", id_col="doc_id", max_t
         wanted[features] = True
         return lambda array: pa.array([number[_present(t, wanted)].tobytes() for t in _texts(array)], pa.binary())
 
-    ids = texts.select("doc_id").join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    ids = hashed_sample(texts.select("doc_id").join(marks, "doc_id"), max_train)
     sample = texts.join(F.broadcast(ids), "doc_id")  # max_train rows
     sample = sample.select("label", column_udf(prepare, "binary")(F.col("text")).alias("present")).toPandas()
     rows = [np.frombuffer(b, np.int32).astype(np.int64) for b in sample.present]
