@@ -6,8 +6,8 @@
    most bucket mates is the hub, and every other member is compared with it: one pair per member,
    however large the bucket. Verified pairs give first components.
 3. Members of one bucket that are still in different components are compared among themselves,
-   in blocks inside tasks; only pairs whose estimated similarity is near the threshold come out.
-   So no link between components is lost, and a group of copies never emits all its pairs.
+   in blocks inside tasks; only links that join components come out. So no link between
+   components is lost, and no group, of copies or not, ever emits all its pairs.
 4. Components of all verified links.
 
 A document without words (null or empty text too) is linked with nothing. Rows that share a
@@ -137,11 +137,48 @@ def grouped(batches, keys):
         yield pa.Table.from_batches(held)
 
 
-def remaining_pairs(shared, labels, classes):
-    """Pairs of one bucket but different components, near or above the threshold by estimate.
+class _Group:
+    """Members of one bucket, or of two blocks of it, that may still be linked."""
+
+    def __init__(self, table, sketch):
+        self.low, self.high = table["low"][0].as_py(), table["high"][0].as_py()
+        self.ids, self.label, self.block, self.hub = (table[c].to_numpy() for c in ("doc_id", "label", "block", "is_hub"))
+        self.bucket, self.sketch = table["bucket"][0].as_py(), sketch
+
+    def pairs(self, sizes):
+        """Row numbers of pairs from different components, near or above the threshold by estimate.
+
+        Pairs with the hub have been compared; a pair that shares several buckets belongs to the
+        one of its first common band.
+        """
+        if self.label.min() == self.label.max():
+            return
+        keys = setsketch.band_keys(self.sketch)
+        left, right = np.flatnonzero((self.block == self.low) & ~self.hub), np.flatnonzero((self.block == self.high) & ~self.hub)
+        for at in range(0, len(left), 32):
+            i, j = left[at : at + 32, None], right[None, :]
+            apart = (self.label[i] != self.label[j]) & (100 * np.minimum(sizes[i], sizes[j]) >= PERCENT * np.maximum(sizes[i], sizes[j]))
+            if self.low == self.high:
+                apart &= self.ids[i] < self.ids[j]
+            x, y = np.nonzero(apart)
+            x, y = left[at + x], right[y]
+            same = (self.sketch[x] == self.sketch[y]).sum(axis=1) >= FEWEST_EQUAL
+            x, y = x[same], y[same]
+            x, y = (r[keys[x, (keys[x] == keys[y]).argmax(axis=1)] == self.bucket] for r in (x, y))
+            near = _estimate(self.sketch[x], self.sketch[y], sizes[x], sizes[y]) >= PERCENT / 100 - SLACK
+            if near.any():
+                yield x[near], y[near]
+
+
+_GROUP = ["bucket", "low", "high"]
+
+
+def remaining_links(shared, labels, classes, docs, size, text_col="text", id_col="doc_id"):
+    """Verified links between members of one bucket that are in different components.
 
     A bucket is cut into blocks of about ``BLOCK`` members; every two blocks meet in one group.
-    Pairs with the bucket's hub have been compared already.
+    Sketches say which members of a group can have a link there; only those get their full sets
+    and meet once more. Pairs never leave a task, only links that join components do.
     """
     own = F.coalesce("label", "doc_id")
     labelled = shared.join(labels, "doc_id", "left").select("bucket", "doc_id", "mates", "hub", own.alias("label"))
@@ -153,42 +190,57 @@ def remaining_pairs(shared, labels, classes):
         {"blocks": blocks, "block": F.pmod(F.xxhash64("doc_id"), blocks).cast("int")}
     )
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select(
-        "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        "block", "doc_id", "label", F.col("hub").eqNullSafe(F.col("doc_id")).alias("is_hub"), "n_shingles", "registers",
-    )
-
-    def run(batches):
-        for group in grouped(batches, 3):
-            low, high = group["low"][0].as_py(), group["high"][0].as_py()
-            block, ids, label = (group[c].to_numpy() for c in ("block", "doc_id", "label"))
-            hub, n = group["is_hub"].to_numpy(), group["n_shingles"].to_numpy()
-            if label.min() == label.max():
-                continue
-            sketch, found = _matrix(group["registers"]), []
-            left, right = np.flatnonzero((block == low) & ~hub), np.flatnonzero((block == high) & ~hub)
-            for at in range(0, len(left), 32):
-                i, j = left[at : at + 32, None], right[None, :]
-                apart = (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
-                if low == high:
-                    apart &= ids[i] < ids[j]
-                x, y = np.nonzero(apart)
-                x, y = left[at + x], right[y]
-                same = (sketch[x] == sketch[y]).sum(axis=1)
-                x, y = x[same >= FEWEST_EQUAL], y[same >= FEWEST_EQUAL]
-                near = _estimate(sketch[x], sketch[y], n[x], n[y]) >= PERCENT / 100 - SLACK
-                found.append(np.sort(np.stack([ids[x[near]], ids[y[near]]]), axis=0))
+    slim = ["bucket", "low", "high", "block", "doc_id", "label", "is_hub"]
+    placed = placed.withColumns(
+        {"low": F.least("block", "other"), "high": F.greatest("block", "other"), "is_hub": F.col("hub").eqNullSafe(F.col("doc_id"))}
+    ).select(*slim, "n_shingles", "registers")
+
+    def choose(batches):
+        for table in grouped(batches, 3):
+            found = [np.concatenate(p) for p in _Group(table, _matrix(table["registers"])).pairs(table["n_shingles"].to_numpy())]
             if found:
-                a, b = np.concatenate(found, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                yield from table.select(slim).take(np.unique(np.concatenate(found))).to_batches()
 
-    keys = ["bucket", "low", "high"]
-    found = placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
-    return materialize(found.distinct(), "remaining")
+    schema = "bucket long, low int, high int, block int, doc_id long, label long, is_hub boolean"
+    chosen = materialize(placed.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(choose, schema), "chosen")
+    sets = full_sets(chosen.select("doc_id"), docs, size, text_col, id_col)
 
+    def confirm(batches):
+        for table in grouped(batches, 3):
+            sets = [np.frombuffer(s, np.uint64) for s in table["shingles"].to_pylist()]
+            sizes = np.array([len(s) for s in sets], np.int64)
+            group = _Group(table, setsketch.registers(np.concatenate(sets), sizes))
+            parent = {int(x): int(x) for x in group.label}
 
-def verified(pairs, docs, size, text_col="text", id_col="doc_id"):
-    """Pairs whose full shingle sets meet the threshold; texts are read again, for these documents alone."""
+            def root(x):
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            links = []
+            for x, y in group.pairs(sizes):
+                for i, j in zip(x.tolist(), y.tolist()):
+                    a, b = root(int(group.label[i])), root(int(group.label[j]))
+                    if a != b and _linked(sets[i], sets[j]):
+                        parent[a] = b
+                        links.append(sorted((int(group.ids[i]), int(group.ids[j]))))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
+
+    full = chosen.join(sets, "doc_id").select(*slim, "shingles")
+    return materialize(full.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(confirm, "a long, b long").distinct(), "more_links")
+
+
+def _linked(a, b):
+    """Whether two sorted sets meet the threshold."""
+    if len(a) > len(b):
+        a, b = b, a
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * common >= PERCENT * (len(a) + len(b) - common)
+
+
+def full_sets(ids, docs, size, text_col="text", id_col="doc_id"):
+    """(doc_id, shingles): the full sets of these documents, whose texts are read again."""
 
     def read_sets(batches):
         words = Words()
@@ -200,22 +252,22 @@ def verified(pairs, docs, size, text_col="text", id_col="doc_id"):
                 packed = [sets[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(packed, pa.binary())], ["doc_id", "shingles"])
 
+    wanted = materialize(ids.distinct(), "wanted")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id", "left_semi")
+    return materialize(texts.mapInArrow(read_sets, "doc_id long, shingles binary"), "sets")
+
+
+def verified(pairs, docs, size, text_col="text", id_col="doc_id"):
+    """Pairs whose full shingle sets meet the threshold."""
+
     def prepare():
         def linked(rows):
-            out = []
-            for a, b in zip(*(c.to_pylist() for c in rows.flatten())):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                if len(a) > len(b):
-                    a, b = b, a
-                common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-                out.append(100 * common >= PERCENT * (len(a) + len(b) - common))
-            return pa.array(out, pa.bool_())
+            pairs = zip(*(c.to_pylist() for c in rows.flatten()))
+            return pa.array([_linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in pairs], pa.bool_())
 
         return linked
 
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id", "left_semi")
-    sets = materialize(texts.mapInArrow(read_sets, "doc_id long, shingles binary"), "sets")
+    sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, size, text_col, id_col)
     for name in "ab":
         pairs = pairs.join(sets.withColumnsRenamed({"doc_id": name, "shingles": f"s_{name}"}), name)
     return materialize(pairs.where(column_udf(prepare, "boolean")(F.struct("s_a", "s_b"))).select("a", "b").distinct(), "links")
@@ -250,8 +302,7 @@ def near_duplicates(docs, size=5, text_col="text", id_col="doc_id"):
     shared = shared_buckets(bands(classes))
     stars = shared.where("doc_id != hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
     links = verified(likely(materialize(stars, "stars"), classes), docs, size, text_col, id_col)
-    rest = remaining_pairs(shared, components(links), classes)
-    more = verified(rest, docs, size, text_col, id_col)
+    more = remaining_links(shared, components(links), classes, docs, size, text_col, id_col)
     labels = components(links.union(more))
     named = classes.join(labels, "doc_id", "left").select("key_a", "key_b", F.coalesce("label", "doc_id").alias("component"))
     named = materialize(named, "named")
