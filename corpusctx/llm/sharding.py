@@ -26,33 +26,48 @@ def _uniform(*parts):
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(1 << 53))
 
 
+def _let(value, body):
+    """``body`` of a value that is computed once; inside a lambda an expression is computed at every use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hypergeometric(total, good, draws, uniform):
     """How many of ``good`` are among ``draws`` out of ``total``, by inversion of ``uniform``.
 
     Probabilities come from the ratios of neighbours, summed up to nine standard deviations
     and a few more steps on either side of the mode; beyond lies less than a double can hold.
     """
+    given = F.struct(total.alias("total"), good.alias("good"), draws.alias("draws"), uniform.alias("u"))
+    return _let(given, lambda p: _let(_support(p["total"], p["good"], p["draws"]), lambda s: _invert(s, p["u"])))
+
+
+def _support(total, good, draws):
     t, g, d = (c.cast("double") for c in (total, good, draws))
     mode = F.floor((d + 1) * (g + 1) / (t + 2))
-    spread = F.sqrt(d * g / F.greatest(t, F.lit(1.0)) * (1 - g / F.greatest(t, F.lit(1.0))) * (t - d) / F.greatest(t - 1, F.lit(1.0)))
+    least = F.greatest(t, F.lit(1.0))
+    spread = F.sqrt(d * g / least * (1 - g / least) * (t - d) / F.greatest(t - 1, F.lit(1.0)))
     width = F.ceil(9 * spread) + 12
     low = F.greatest(F.lit(0).cast("bigint"), draws - (total - good), mode - width)
     high = F.least(draws, good, mode + width)
+    return F.struct(t.alias("t"), g.alias("g"), d.alias("d"), low.alias("low"), high.alias("high"))
+
 
+def _invert(s, uniform):
     def following(weight, k):
         k = k.cast("double")
-        return weight * (g - k) * (d - k) / ((k + 1) * (t - g - d + k + 1))
+        return weight * (s["g"] - k) * (s["d"] - k) / ((k + 1) * (s["t"] - s["g"] - s["d"] + k + 1))
 
-    steps = F.sequence(low, high)
-    tiny = F.lit(1e-280)
-    mass = F.aggregate(steps, F.struct(tiny.alias("w"), F.lit(0.0).alias("sum")), lambda a, k: F.struct(following(a["w"], k).alias("w"), (a["sum"] + a["w"]).alias("sum")))["sum"]
-    goal = uniform * mass
-    found = F.aggregate(
-        steps,
-        F.struct(tiny.alias("w"), F.lit(0.0).alias("sum"), low.alias("at")),
-        lambda a, k: F.struct(following(a["w"], k).alias("w"), (a["sum"] + a["w"]).alias("sum"), F.when(a["sum"] <= goal, k).otherwise(a["at"]).alias("at")),
-    )
-    return F.when(low >= high, low).otherwise(found["at"])
+    start = F.struct(F.lit(1e-280).alias("w"), F.lit(0.0).alias("sum"), s["low"].alias("at"))
+
+    def walk(goal):
+        def step(a, k):
+            at = F.when(a["sum"] <= goal, k).otherwise(a["at"])
+            return F.struct(following(a["w"], k).alias("w"), (a["sum"] + a["w"]).alias("sum"), at.alias("at"))
+
+        return F.aggregate(F.sequence(s["low"], s["high"]), start, step)
+
+    found = _let(uniform * walk(F.lit(0.0))["sum"], lambda goal: walk(goal)["at"])
+    return F.when(s["low"] >= s["high"], s["low"]).otherwise(found)
 
 
 def _take(sizes_left, count, seed, *where):
@@ -60,8 +75,11 @@ def _take(sizes_left, count, seed, *where):
 
     def draw(state, shard):
         room = F.element_at(sizes_left, shard)
-        n = hypergeometric(state["total"], room, state["open"], _uniform(F.lit(seed), *where, shard))
-        return F.struct(F.concat(state["taken"], F.array(n)).alias("taken"), (state["open"] - n).alias("open"), (state["total"] - room).alias("total"))
+        drawn = hypergeometric(state["total"], room, state["open"], _uniform(F.lit(seed), *where, shard))
+        return _let(
+            drawn,
+            lambda n: F.struct(F.concat(state["taken"], F.array(n)).alias("taken"), (state["open"] - n).alias("open"), (state["total"] - room).alias("total")),
+        )
 
     zero = F.lit(0).cast("bigint")
     total = F.aggregate(sizes_left, zero, lambda a, x: a + x)
@@ -89,9 +107,11 @@ def communication_matrix(block_sizes, shard_sizes, blocks, seed):
         children = parents.agg(F.sort_array(F.collect_list(F.struct("child", "n"))).alias("children"))
 
         def split(state, child):
-            taken = _take(state["left"], child["n"], seed, child["child"], F.lit(level))
-            rest = F.zip_with(state["left"], taken, lambda a, b: a - b)
-            return F.struct(rest.alias("left"), F.concat(state["out"], F.array(F.struct(child["child"].alias("node"), taken.alias("counts")))).alias("out"))
+            def put(taken):
+                rest = F.zip_with(state["left"], taken, lambda a, b: a - b)
+                return F.struct(rest.alias("left"), F.concat(state["out"], F.array(F.struct(child["child"].alias("node"), taken.alias("counts")))).alias("out"))
+
+            return _let(_take(state["left"], child["n"], seed, child["child"], F.lit(level)), put)
 
         empty = F.array().cast("array<struct<node:bigint,counts:array<bigint>>>")
         drawn = F.aggregate("children", F.struct(F.col("counts").alias("left"), empty.alias("out")), split, lambda s: s["out"])
