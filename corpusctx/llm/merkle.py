@@ -11,7 +11,6 @@ sentence. Repeated rows give repeated fingerprints, whatever other columns they
 
 from pyspark.sql import Window, functions as F
 
-from corpusctx.operators.joins import join_on
 from corpusctx.sources.scratch import materialize
 
 #: One paragraph in so many ends a section.
@@ -83,6 +82,10 @@ def edited_paragraphs(a, b):
     )
 
 
+def _key(column):
+    return F.coalesce(F.concat(F.lit("d"), F.col(column).cast("string")), F.lit("n"))
+
+
 def neighbours(docs, text_col="text", id_col="doc_id"):
     """(doc_id, n_chars, row_key, previous_id, previous_chars): who comes before each doc_id in descending order.
 
@@ -117,17 +120,22 @@ def compare_with_edits(docs, text_col="text", id_col="doc_id"):
     near_edited, near_next. Texts move once to meet their neighbour's id, and of each the part
     that the document before it needs moves once more.
     """
+    # One key column that is never null: both joins and the aggregate then share their partitioning.
     links = neighbours(docs, text_col, id_col)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    both = trees(join_on(texts, links, ["doc_id"]))
+    links = links.select(_key("doc_id").alias("key"), "row_key", _key("previous_id").alias("previous_key"), "previous_chars")
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), _key(id_col).alias("key"))
+    both = trees(texts.join(links, "key"))
     both = both.withColumn("leaves", leaf_keys(F.col("tree"))).withColumn("root", F.col("tree.root"))
+    # As an equality of two sides the test would become a join key, and texts would be dealt anew for it.
     part = F.expr("substring(text, 1, cast(floor(previous_chars / 2) as int))")
-    ahead = both.where(F.xxhash64("text") == F.col("row_key")).select(
-        F.col("previous_id").alias("doc_id"), part.alias("next_part"), F.col("root").alias("next_root"), F.col("leaves").alias("next_leaves")
+    ahead = both.where(F.xxhash64("text").bitwiseXOR(F.col("row_key")) == 0).select(
+        F.col("previous_key").alias("key"), part.alias("next_part"), F.col("root").alias("next_root"), F.col("leaves").alias("next_leaves")
     )
-    ahead = ahead.groupBy("doc_id").agg(F.first(F.struct("next_part", "next_root", "next_leaves")).alias("next")).select("doc_id", "next.*")
-    here = both.select("doc_id", "text", F.length("text").alias("n_chars"), "root", "leaves")
-    met = join_on(here, ahead, ["doc_id"])
+    ahead = ahead.groupBy("key").agg(F.first(F.struct("next_part", "next_root", "next_leaves")).alias("next")).select("key", "next.*")
+    # The id comes back out of the key, so that both sides need the same columns and texts are dealt once.
+    doc_id = F.when(F.col("key") != "n", F.substring("key", 2, 1 << 30)).cast(docs.schema[id_col].dataType)
+    here = both.select("key", doc_id.alias("doc_id"), "text", F.length("text").alias("n_chars"), "root", "leaves")
+    met = here.join(ahead, "key")
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.expr("substring(text, 1, n_chars - cast(floor(n_chars / 2) as int))"), F.col("next_part").substr(F.lit(1), half))
     done = trees(met.withColumn("edited", edited), "edited", "edited_tree")
