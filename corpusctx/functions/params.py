@@ -54,6 +54,9 @@ def value_text(typed) -> Column:
 
 
 def value_json(typed) -> Column:
+    """JSON text of a typed value. JSON has no numbers that are not finite: they become strings."""
+    number = typed["d"].cast("string")
+    finite = ~F.isnan(typed["d"]) & (F.abs(typed["d"]) < float("inf"))
     return F.coalesce(
-        typed["i"].cast("string"), typed["d"].cast("string"), typed["b"].cast("string"), json_literal(typed["s"])
+        typed["i"].cast("string"), F.when(finite, number), F.when(number.isNotNull(), json_literal(number)), typed["b"].cast("string"), json_literal(typed["s"])
     )

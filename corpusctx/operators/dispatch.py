@@ -50,7 +50,10 @@ def request_fields(plan):
 
 
 def build_requests(plan, prompts):
-    """Request bodies (JSON) of the API-routed rows: model, one user message, parameters."""
+    """Request bodies (JSON) of the API-routed rows: model, one user message, parameters.
+
+    A request without a prompt has no body; it is answered with an error and never sent.
+    """
     fields = request_fields(plan.filter(F.col("route") == "api")).join(prompts.select("task_id", "prompt"), "task_id")
     passed = F.transform(
         F.filter(F.map_entries("overrides"), lambda e: ~e["key"].isin("temperature", "timeout")),
@@ -63,7 +66,10 @@ def build_requests(plan, prompts):
         F.lit(',"timeout":'), F.col("timeout"),
         F.array_join(passed, ""), F.lit("}"),
     )
-    return fields.select("task_id", "model", "temperature", "timeout", "n_overrides", body.alias("body"))
+    return fields.select("task_id", "model", "temperature", "timeout", "n_overrides", F.when(F.col("prompt").isNotNull(), body).alias("body"))
+
+
+NO_PROMPT = "not sent: the request has no prompt"
 
 
 def _ask(batches, provider):
@@ -72,10 +78,13 @@ def _ask(batches, provider):
         for task_id, model, body in zip(batch["task_id"], batch["model"], batch["body"]):
             started = time.monotonic()
             raw = error = None
-            try:
-                raw = provider(model, body)
-            except Exception as problem:  # one failure never stops the other requests
-                error = f"Error: {problem}"
+            if body is None:
+                error = NO_PROMPT
+            else:
+                try:
+                    raw = provider(model, body)
+                except Exception as problem:  # one failure never stops the other requests
+                    error = f"Error: {problem}"
             rows.append((task_id, model, raw, error, time.monotonic() - started))
         yield pd.DataFrame(rows, columns=["task_id", "model", "raw", "error", "seconds"])
 

@@ -16,8 +16,6 @@ DEFAULT_EXCLUDES = [
     "node_modules/",
     ".vscode/",
     "*.log",
-    ".npconfig.toml",
-    ".np_git_cache/",
     "*.png",
     "*.jpg",
     "*.jpeg",
@@ -36,7 +34,6 @@ DEFAULT_EXCLUDES = [
     "dist/",
     "build/",
     "*.egg-info/",
-    "*np_output/last_prompt.md",
 ]
 
 IGNORED, EXCLUDED, INCLUDED = "ignored", "excluded", "included"

@@ -8,6 +8,7 @@ from corpusctx.functions.text import DEFAULT_RATIO
 from corpusctx.operators import assemble, dispatch, measure, results, roots, selection, settings
 from corpusctx.operators.joins import join_sparse
 from corpusctx.sources.responses import read_response_log
+from corpusctx.sources.scratch import materialize
 
 
 @dataclass
@@ -70,6 +71,8 @@ def reconcile(log, generation, timestamp, attempts=None):
     ``generation`` holds the details found; ``attempts`` the log of lookups, which tells why
     details are missing.
     """
+    # Written once: a lazy log would ask its provider again at every use.
+    log = materialize(log, "answers")
     usage = results.attach_generation(read_response_log(log), generation)
     if attempts is not None:
         outcomes = results.resolve_attempts(attempts).select("generation_id", "outcome", "last_code")

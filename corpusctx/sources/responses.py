@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-EMPTY_CONTENT = "Error: Received empty content from API."
-BAD_BODY = "Error: API request failed: response body is not JSON"
-NO_CHOICES = "Error: An unexpected error occurred: no choices in response"
+EMPTY_CONTENT = "no content in the answer"
+BAD_BODY = "the answer is not JSON"
+NO_CHOICES = "no choices in the answer"
 
 
 def read_response_log(df, raw="raw"):
@@ -13,7 +13,7 @@ def read_response_log(df, raw="raw"):
     The body is parsed once into a VARIANT; ``usage`` may be a number or an object.
     """
     parsed = df.withColumn(
-        "_v", F.when(F.endswith(F.rtrim(F.col(raw)), F.lit("}")), F.try_parse_json(F.col(raw)))
+        "_v", F.when(F.endswith(F.rtrim(F.col(raw), F.lit(" \t\r\n")), F.lit("}")), F.try_parse_json(F.col(raw)))
     )
 
     def field(path, kind="string"):

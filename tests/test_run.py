@@ -32,7 +32,12 @@ def test_a_whole_run(spark, rows, tmp_path):
     assert {r.model: r.route for r in run.plan.collect()} == {"m/a": "api", "m/b": "api", "by hand": "manual"}
     assert json.loads(run.requests.filter("model = 'm/a'").first().body)["temperature"] == 0
 
+    calls = tmp_path / "calls"
+    calls.touch()
+
     def provider(model, body):
+        with calls.open("a") as file:
+            file.write(model + "\n")
         if model == "m/b":
             raise RuntimeError("down")
         return json.dumps({"id": "g1", "choices": [{"message": {"content": "because"}}]})
@@ -47,6 +52,13 @@ def test_a_whole_run(spark, rows, tmp_path):
     assert (got["m/b"].status, got["m/b"].error) == ("Error", "Error: down")
     cost = costs.first()
     assert (cost.n_done, cost.n_error, str(cost.total_cost)) == (1, 1, "0.250000")
+    assert sorted(calls.read_text().split()) == ["m/a", "m/b"]  # each request is asked once
+
+
+def test_request_without_prompt_is_never_sent(rows):
+    requests = rows([(1, "m/a", None), (2, "m/a", "{}")], "task_id bigint, model string, body string")
+    got = {r.task_id: r for r in dispatch.dispatch_batch(requests, lambda model, body: body.upper()).collect()}
+    assert (got[1].raw, got[1].error) == (None, dispatch.NO_PROMPT) and got[2].raw == "{}"
 
 
 def test_includes_narrow_the_run(rows):
