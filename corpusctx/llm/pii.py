@@ -8,10 +8,13 @@ reaches ``REMOVE`` is removed. P(t) and P(c) are shares of all documents; P(t ne
 distinct surroundings of c, so copies of a passage count once, and needs ``SUPPORT`` of them.
 
 Null text counts as empty and has no spans. Offsets are code points, ends exclusive. Spans of one
-kind never overlap. Repeated rows give repeated results; an empty table gives no rows.
+kind never overlap. Repeated rows give repeated results, rows that share an id keep their own
+spans, and rows without an id count as one document; an empty table gives no rows.
 """
 
+import hashlib
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -119,26 +122,49 @@ def _strings(array):
     return (x.as_py() for x in array)
 
 
+def _covered(spans):
+    """Disjoint stretches that the spans cover, in order."""
+    merged = []
+    for start, end in sorted((s, e) for _, s, e in spans):
+        if merged and start <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], end)
+        else:
+            merged.append([start, end])
+    return [s for s, _ in merged], [e for _, e in merged]
+
+
+def _entity(kind, shown):
+    """Name of an entity; long ones by a digest of the whole."""
+    name = f"{kind}:{shown.lower()}"
+    return name if len(name) <= 300 else f"{kind}#{hashlib.sha256(name.encode()).hexdigest()}"
+
+
 def contexts(docs, text_col="text", id_col="doc_id"):
-    """One row per entity and word near it: (doc_id, place, entity, around, term, start, end)."""
+    """One row per entity and word near it: (doc_id, text_hash, entity, around, term, start, end)."""
 
     def run(batches):
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), _strings(batch.column(1))):
+            for doc, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _strings(batch.column(2))):
                 text = text or ""
                 spans = base_spans(text)
-                inside = [(s, e) for _, s, e in spans]
+                starts, ends = _covered(spans)
+
+                def outside(word):
+                    # The last stretch that starts before the word's end must be over by its start.
+                    k = bisect_left(starts, word[2]) - 1
+                    return k < 0 or ends[k] <= word[1]
+
                 for kind, start, end in spans:
-                    near = [w for w in surroundings(text, start, end) if not any(s < w[2] and w[1] < e for s, e in inside[:1000])]
-                    entity, around = f"{kind}:{text[start:end].lower()}"[:300], " ".join(w[0] for w in near)
-                    rows += [(doc, len(text), entity, around, *w) for w in near] or [(doc, len(text), entity, around, None, None, None)]
+                    near = [w for w in surroundings(text, start, end) if outside(w)]
+                    own = (doc, digest, _entity(kind, text[start:end]), " ".join(w[0] for w in near))
+                    rows += [(*own, *w) for w in near] or [(*own, None, None, None)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names)
 
-    chosen = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
-    names = ["doc_id", "n_chars", "entity", "around", "term", "start", "end"]
+    chosen = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    names = ["doc_id", "text_hash", "entity", "around", "term", "start", "end"]
     kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
-    return materialize(chosen.mapInArrow(run, "doc_id string, n_chars long, entity string, around string, term string, start int, end int"), "contexts")
+    return materialize(chosen.mapInArrow(run, "doc_id string, text_hash long, entity string, around string, term string, start int, end int"), "contexts")
 
 
 def document_frequency(docs, terms, text_col="text"):
@@ -179,23 +205,21 @@ def disclosing_terms(near, docs, text_col="text"):
 
 
 def term_spans(near, disclosing):
-    """(doc_id, n_chars, terms): spans of disclosing terms per document, each with what it reveals."""
-    hits = near.join(disclosing, ["entity", "term"]).groupBy("doc_id", "n_chars", "start", "end").agg(F.max("share").alias("share"))
+    """(doc_id, text_hash, terms): spans of disclosing terms per document, each with what it reveals."""
+    key = ["doc_id", "text_hash"]
+    hits = near.join(disclosing, ["entity", "term"]).groupBy(*key, "start", "end").agg(F.max("share").alias("share"))
     # Bounded by the length of one text.
-    return hits.groupBy("doc_id", "n_chars").agg(F.sort_array(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
+    return hits.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
 
 
 def find_spans(docs, text_col="text", id_col="doc_id"):
-    """``docs`` with ``base`` (pattern spans) and ``terms`` (spans of disclosing terms, with their share).
-
-    Rows that share an id and a length share their disclosing terms.
-    """
+    """``docs`` with ``base`` (pattern spans) and ``terms`` (spans of disclosing terms, with their share)."""
     near = contexts(docs, text_col, id_col)
     terms = materialize(term_spans(near, disclosing_terms(near, docs, text_col)), "terms")
-    terms = terms.withColumnsRenamed({"doc_id": "_doc", "n_chars": "_n"})
+    terms = terms.withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"})
     found = find_base(docs, text_col)
-    same = (F.col(id_col).cast("string") == F.col("_doc")) & (F.coalesce(F.length(text_col), F.lit(0)) == F.col("_n"))
-    return found.join(terms, same, "left").drop("_doc", "_n")
+    same = F.col(id_col).cast("string").eqNullSafe(F.col("_doc")) & (F.xxhash64(text_col) == F.col("_hash"))
+    return found.join(terms, same, "left").drop("_doc", "_hash")
 
 
 def sanitise(docs, text_col="text", id_col="doc_id"):

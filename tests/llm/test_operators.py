@@ -345,6 +345,27 @@ def test_pii_terms_disclose(spark):
     assert clean[2000] == "Wolfhart alone" and all(clean[i] == t for i, t in rows[:300])
 
 
+def test_pii_terms_of_many_spans_repeated_and_missing_ids(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(40))) for i in range(300)]
+    near = [" ".join(rng.choice(words) for _ in range(10)) + " Wolfhart jo@ex.org" for _ in range(4)]
+    # Equal ids and lengths, other texts: the spans of one must not mark the other.
+    rows += [(1000, near[0]), (1000, "y" * len(near[0])), (None, near[1]), (None, None), (1001, near[2]), (1002, near[3])]
+    # Thousands of addresses; none of their own parts may count as a word around the next.
+    rows.append((2000, "\n".join(f"user@host.net to Ulmenhof" for _ in range(3000))))
+    found = pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        shown = {(r.text or "")[s.start : s.end] for s in r.terms or ()}
+        assert shown <= {"Wolfhart"} and (("Wolfhart" in (r.text or "")) == bool(shown))
+    assert next(len(r.base) for r in found if r.doc_id == 2000) == 3000
+    starts, ends = pii._covered([("a", 3, 5), ("b", 4, 9), ("a", 20, 22)])
+    assert (starts, ends) == ([3, 20], [9, 22])
+    long = "1" * 400
+    assert pii._entity("ip", long + "1") != pii._entity("ip", long + "2")
+
+
 def test_bpe_equals_the_tokenizer(spark, docs, odd, empty, vocabulary):
     reference = Tokenizer.from_file(PATH)
     rng = random.Random(9)
