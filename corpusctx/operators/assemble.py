@@ -1,7 +1,9 @@
 """Blocks, parts, prompts and manifests.
 
-The parts table is the canonical prompt: one row per block, so a prompt may be of any
-size. Whole-text forms are built only for groups whose size, summed first, fits a cell.
+The canonical prompt is its numbered chunks (``body_chunks``, ``prompt_chunks``) or, block by
+block, its parts: both hold every character of prompts of any size. A request needs its prompt in
+one cell: that form (``assemble_bodies``, ``assemble_prompts``) exists only where it fits, and
+elsewhere the request is an error row.
 """
 
 from dataclasses import dataclass
@@ -9,11 +11,12 @@ from dataclasses import dataclass
 from pyspark.sql import functions as F
 
 from corpusctx.functions import paths, text
+from corpusctx.operators import chunks
 from corpusctx.operators.joins import join_on, join_wide, without_keys
 from corpusctx.operators.ordering import path_order
 from corpusctx.sources.scratch import materialize
 
-# One cell holds at most this many characters; larger prompts stay in the parts table.
+# A request is one cell; a prompt beyond this many characters can only be had in chunks or parts.
 MAX_CELL_CHARS = 64_000_000
 
 # Parts of one group that may meet its tasks in one place.
@@ -88,15 +91,13 @@ def task_files(tasks, files, keys=("project",)):
     return slice_join(tasks, path_order(files, keys), keys, [c for c in files.columns if c != "task_id"] + ["seq"])
 
 
-def join_texts(df, keys, order, value, out, max_chars=MAX_CELL_CHARS, sizes=None):
+def join_texts(df, keys, order, value, out, max_chars=MAX_CELL_CHARS):
     """Ordered concatenation of ``value`` per group: ``keys, n, chars, out``.
 
-    Sizes (``keys, n, chars``) are summed first unless given. Groups beyond ``max_chars``
-    never reach the collecting aggregate nor its shuffle: they keep their counts and a null
-    text, and stay available row by row.
+    Sizes are summed first. Groups beyond ``max_chars`` never reach the collecting aggregate nor
+    its shuffle: they keep their exact counts and a null text; ``text_chunks`` has them whole.
     """
-    sizes = text_sizes(df, keys, value) if sizes is None else sizes
-    probe = sizes.select(*keys, "n", "chars").filter(F.col("chars") > max_chars).persist()
+    probe = text_sizes(df, keys, value).filter(F.col("chars") > max_chars).persist()
     n_large = probe.count()
     if n_large:
         large = materialize(probe, "large")
@@ -110,22 +111,25 @@ def join_texts(df, keys, order, value, out, max_chars=MAX_CELL_CHARS, sizes=None
     return texts.unionByName(large.withColumn(out, F.lit(None).cast("string"))) if n_large else texts
 
 
-def stored_sizes(files, keys=("project",), chars="n_chars", templates=Templates()):
-    """Sizes for ``assemble_bodies`` from a stored character count, so contents are read only once.
+def body_chunks(blocks, keys=("project",), chunk_chars=chunks.CHUNK_CHARS):
+    """The text of each group, blocks in path order, as chunks: ``keys, chunk_no, n_chars, chunk``.
 
-    They decide which groups are too large; a count taken before line ends were unified is
-    good enough, as it can only be larger.
+    Tasks over the same files share it. (keys, path) must be unique.
     """
+    ordered = blocks.select(*keys, paths.order_key(F.col("path")).alias("_path"), "block")
+    return chunks.text_chunks(ordered, list(keys), ["_path"], "block", chunk_chars)
+
+
+def prompt_chunks(bodies, tasks, payload="chunk", keys=("project",), templates=Templates(), finish=lambda c: c, chunk_chars=chunks.CHUNK_CHARS):
+    """``task_id, chunk_no, n_chars, payload``: every character of each prompt; the task's own text begins a chunk."""
     t = templates
-    frame = F.length("path") + F.lit(len(t.file_open) + len(t.file_head) + len(t.file_close))
-    return files.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.sum(F.col(chars) + frame).cast("bigint").alias("chars")
-    )
+    tail = F.concat(F.lit(t.task_open), F.coalesce("definition", F.lit("")), F.lit(t.task_close))
+    return chunks.append_chunks(tasks, bodies, list(keys), tail, payload, finish, chunk_chars)
 
 
-def assemble_bodies(blocks, keys=("project",), max_chars=MAX_CELL_CHARS, sizes=None):
-    """One text per group: blocks in path order. Tasks over the same files share it."""
-    return join_texts(blocks, list(keys), [paths.order_key(F.col("path"))], "block", "body", max_chars, sizes)
+def assemble_bodies(blocks, keys=("project",), max_chars=MAX_CELL_CHARS):
+    """One text per group: blocks in path order, for requests."""
+    return join_texts(blocks, list(keys), [paths.order_key(F.col("path"))], "block", "body", max_chars)
 
 
 def task_chars(t):

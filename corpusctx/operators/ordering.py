@@ -9,6 +9,19 @@ from corpusctx.sources.scratch import materialize
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 
+def place_rows(df, group, order):
+    """Rows in the order of (group, order) over partitions, written once: with ``_part`` and ``_pos`` therein."""
+    # Order expressions become columns first: a sort evaluates its expressions at every comparison.
+    computed = {f"_o{i}": o for i, o in enumerate(order) if not isinstance(o, str)}
+    keys = [*group, *[o if isinstance(o, str) else f"_o{i}" for i, o in enumerate(order)]]
+    ordered = df.withColumns(computed).repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*computed)
+    placed = materialize(ordered.withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    at = F.col("_at")
+    return placed.withColumns(
+        {"_part": F.shiftright(at, _POSITION_BITS), "_pos": at.bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))}
+    ).drop("_at")
+
+
 def number_rows(df, group, order, out="seq"):
     """1-based position of each row in its group by ``order`` (names or columns, ties must not matter).
 
@@ -21,14 +34,7 @@ def number_rows(df, group, order, out="seq"):
     Finding the ranges samples the input, which runs it twice: pass key columns only and
     join large payloads to the numbers afterwards.
     """
-    # Order expressions become columns first: a sort evaluates its expressions at every comparison.
-    computed = {f"_o{i}": o for i, o in enumerate(order) if not isinstance(o, str)}
-    keys = [*group, *[o if isinstance(o, str) else f"_o{i}" for i, o in enumerate(order)]]
-    ordered = df.withColumns(computed).repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*computed)
-    placed = materialize(ordered.withColumn("_at", F.monotonically_increasing_id()), "ordered")
-    placed = placed.withColumn("_part", F.shiftright("_at", _POSITION_BITS)).withColumn(
-        "_pos", F.col("_at").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
-    )
+    placed = place_rows(df, group, order)
     runs = placed.groupBy(*group, "_part").agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1

@@ -3,11 +3,12 @@
 from pyspark.sql import functions as F
 
 from corpusctx.functions import paths, text
-from corpusctx.operators import assemble, dispatch, measure, naming, results, roots, selection, settings
+from corpusctx.operators import assemble, chunks, dispatch, measure, naming, results, roots, selection, settings
 from corpusctx.operators.ordering import path_order as number_paths
 from corpusctx.plans import inputs
 from corpusctx.sources.responses import read_response_log
 from corpusctx.sources.rules import parse_rules
+from corpusctx.sources.scratch import materialize
 from corpusctx.streaming import status
 
 TOP = 3
@@ -140,25 +141,19 @@ def prompt_parts(spark, d):
 
 
 def _bodies(spark, d):
-    listed = inputs.files(spark, d).select("project", "path", "n_chars")
-    listed = selection.included(selection.classify_files(listed, inputs.IGNORE, inputs.EXCLUDES))
-    return assemble.assemble_bodies(assemble.project_blocks(_selected(spark, d)), sizes=assemble.stored_sizes(listed))
-
-
-def _prompts(spark, d):
-    return assemble.assemble_prompts(_bodies(spark, d), inputs.tasks(spark, d))
+    """Chunks of each source's text, digested: chunks are shared by tasks, so only their hashes move on."""
+    bodies = assemble.body_chunks(assemble.project_blocks(_selected(spark, d)))
+    return materialize(bodies.withColumn("chunk_sha256", text.sha256(F.col("chunk"))).drop("chunk"), "bodies")
 
 
 def prompts(spark, d):
-    return _prompts(spark, d).select("task_id", "n_files", "prompt_chars", text.sha256(F.col("prompt")).alias("prompt_sha256"))
+    """Every chunk of every prompt, by length and hash."""
+    return assemble.prompt_chunks(_bodies(spark, d), inputs.tasks(spark, d), payload="chunk_sha256", finish=text.sha256)
 
 
 def conversations_joined(spark, d):
-    joined = assemble.join_texts(inputs.turns(spark, d), ["conv_id"], [F.col("turn")], "block", "prompt")
-    return joined.select(
-        "conv_id", F.col("n").alias("n_files"), F.col("chars").alias("prompt_chars"),
-        text.sha256(F.col("prompt")).alias("prompt_sha256"),
-    )
+    joined = chunks.text_chunks(inputs.turns(spark, d), ["conv_id"], ["turn"], "block")
+    return joined.select("conv_id", "chunk_no", "n_chars", text.sha256(F.col("chunk")).alias("chunk_sha256"))
 
 
 def _task_files(spark, d):
@@ -256,7 +251,7 @@ def dispatch_plan(spark, d):
 def requests(spark, d):
     fields = dispatch.request_fields(_plan(spark, d).filter(F.col("route") == "api"))
     return fields.join(prompts(spark, d), "task_id").select(
-        "task_id", "model", "temperature", "timeout", "n_overrides", "prompt_sha256"
+        "task_id", "model", "temperature", "timeout", "n_overrides", "chunk_no", "chunk_sha256"
     )
 
 
@@ -317,10 +312,11 @@ def run_progress(spark, d):
 
 
 def context_by_source(spark, d):
-    """Flagship: the assembled context of every source."""
-    return _bodies(spark, d).select(
-        F.col("project").alias("source"), F.col("n").alias("n_files"), F.col("chars").alias("n_chars"),
-        text.estimate_tokens(F.col("chars")).alias("est_tokens"), text.sha256(F.col("body")).alias("prompt_sha256"),
+    """Flagship: the assembled context of every source, chunk by chunk."""
+    bodies = assemble.body_chunks(assemble.project_blocks(_selected(spark, d)))
+    return bodies.select(
+        F.col("project").alias("source"), "chunk_no", "n_chars",
+        text.estimate_tokens(F.col("n_chars")).alias("est_tokens"), text.sha256(F.col("chunk")).alias("chunk_sha256"),
     )
 
 

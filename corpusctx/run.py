@@ -13,12 +13,17 @@ from corpusctx.sources.scratch import materialize
 
 @dataclass
 class Prepared:
-    """Everything known before a model is asked; nothing is computed until used."""
+    """Everything known before a model is asked. Building it sums sizes and orders paths; the rest is computed when used.
+
+    ``chunks`` holds every character of every prompt; ``prompts`` are the whole texts that requests
+    need, null beyond one cell.
+    """
 
     classified: DataFrame
     counts: DataFrame
     folders: DataFrame
     totals: DataFrame
+    chunks: DataFrame
     prompts: DataFrame
     manifest: DataFrame
     plan: DataFrame
@@ -48,7 +53,8 @@ def prepare(
     classified = selection.classify_files(files, ignore, [patterns[p] for p in sorted(patterns)])
     chosen = selection.included(classified)
     totals = assemble.prompt_totals(chosen, tasks, keys, templates, ratio)
-    bodies = assemble.assemble_bodies(assemble.project_blocks(chosen, templates), keys)
+    blocks = assemble.project_blocks(chosen, templates)
+    bodies = assemble.assemble_bodies(blocks, keys)
     prompts = assemble.assemble_prompts(bodies, tasks, keys, templates)
     overrides = settings.overrides_by_model(settings.merge_overrides(param_layers)) if param_layers else None
     plan = dispatch.dispatch_plan(tasks, overrides)
@@ -57,6 +63,7 @@ def prepare(
         counts=selection.selection_counts(classified, keys),
         folders=measure.top_folders(measure.folder_tokens(chosen, keys, ratio), keys),
         totals=totals,
+        chunks=assemble.prompt_chunks(assemble.body_chunks(blocks, keys), tasks, keys=keys, templates=templates),
         prompts=prompts,
         manifest=assemble.task_manifest(chosen, tasks, totals, keys=keys),
         plan=plan,

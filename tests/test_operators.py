@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusctx.functions import text
-from corpusctx.operators import assemble, dispatch, measure, naming, results, roots, selection, settings
+from corpusctx.operators import assemble, chunks, dispatch, measure, naming, results, roots, selection, settings
 from corpusctx.operators.ordering import number_rows, path_order
 
 PATHS = ["file.py", "a/b/c.py", "x/test_data.txt", "docs/readme.md", "docs", "x/docs/readme.md", "sub/node_modules/x.js",
@@ -190,11 +190,36 @@ def test_oversized_prompts_keep_counts_and_parts(rows):
     expected = expected_prompts()
     assert got[1].prompt is None and got[1].prompt_chars == len(expected[1]) and got[1].n_files == 3
     assert got[2].prompt == expected[2] and got[3].prompt == expected[3]
-    stored = files.withColumn("n_chars", F.coalesce(F.length("content"), F.lit(60)))
-    for limit, whole in ((300, True), (110, False)):
-        bodies = assemble.assemble_bodies(assemble.project_blocks(files), max_chars=limit, sizes=assemble.stored_sizes(stored))
-        got = {r.task_id: r.prompt for r in assemble.assemble_prompts(bodies, tasks).collect()}
-        assert (got[1] == expected[1]) is whole and got[2] == expected[2]
+    requests = dispatch.build_requests(dispatch.dispatch_plan(tasks), assemble.assemble_prompts(bodies, tasks))
+    asked = []
+    answers = dispatch.dispatch_batch(requests, lambda model, body: asked.append(body) or body).collect()
+    assert {(r.task_id, r.raw is None, r.error is None) for r in answers} == {(1, True, False), (4, True, False)}
+
+
+def test_chunks_lose_nothing(rows):
+    """Any chunk size gives the same text, cut every so many characters, oversized blocks too."""
+    files, tasks = rows(FILES, FILE_SCHEMA), rows(TASKS, TASK_SCHEMA)
+    expected, t = expected_prompts(), assemble.Templates()
+    tails = {task_id: t.task_open + definition + t.task_close for task_id, _, definition, _, _ in TASKS}
+    for size in (7, 60, 1 << 16):
+        bodies = assemble.body_chunks(assemble.project_blocks(files), chunk_chars=size)
+        got = assemble.prompt_chunks(bodies, tasks, chunk_chars=size).orderBy("task_id", "chunk_no").collect()
+        for task_id, whole in expected.items():
+            own = [r for r in got if r.task_id == task_id]
+            body = whole[: len(whole) - len(tails[task_id])]
+            assert [r.chunk for r in own] == [part[i : i + size] for part in (body, tails[task_id]) for i in range(0, len(part), size)]
+            assert [r.chunk_no for r in own] == list(range(len(own))) and all(r.n_chars == len(r.chunk) for r in own)
+
+
+def test_text_chunks_over_many_partitions(rows):
+    texts = {(g, i): "é😀x"[: i % 4] * (i % 9) for g in ("p", None) for i in range(150)}
+    df = rows([(g, i, v or (None if i % 2 else "")) for (g, i), v in texts.items()], "g string, i bigint, v string").repartition(13)
+    got = chunks.text_chunks(df, ["g"], ["i"], "v", 11).collect()
+    for g in ("p", None):
+        whole = "".join(texts[g, i] for i in range(150))
+        own = {r.chunk_no: r.chunk for r in got if r.g == g}
+        assert own == {k: whole[11 * k : 11 * k + 11] for k in range(-(-len(whole) // 11))}
+    assert chunks.text_chunks(df.where("v = ''"), ["g"], ["i"], "v").count() == 0
 
 
 def test_folder_tokens(rows):

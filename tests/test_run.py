@@ -28,6 +28,7 @@ def test_a_whole_run(spark, rows, tmp_path):
     counts = run.counts.first()
     assert (counts.scanned, counts.ignored, counts.excluded, counts.included) == (7, 2, 2, 3)
     assert run.totals.first().total_chars == len(prompt.prompt)
+    assert "".join(r.chunk for r in run.chunks.orderBy("chunk_no").collect()) == prompt.prompt
     assert run.manifest.first().sources_text == "*   `file1.py`\n*   `file2.md`\n*   `src/main.py`"
     assert {r.model: r.route for r in run.plan.collect()} == {"m/a": "api", "m/b": "api", "by hand": "manual"}
     assert json.loads(run.requests.filter("model = 'm/a'").first().body)["temperature"] == 0
