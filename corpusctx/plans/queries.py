@@ -178,8 +178,10 @@ def prompt_totals(spark, d):
 def task_manifest(spark, d):
     files = _selected(spark, d)
     tasks = inputs.tasks(spark, d)
+    # Sources are dealt to all tasks, whose ids run from 0.
+    n_tasks = F.lit(max(tasks.count(), 1)).cast("bigint")
     remotes = naming.normalize_sources(inputs.sources(spark, d)).select(
-        (F.col("page_id") % 40).alias("task_id"), "base_url", "branch", "commit",
+        (F.col("page_id") % n_tasks).alias("task_id"), "base_url", "branch", "commit",
         F.concat(F.lit(inputs.CHECKOUTS), F.col("page_id").cast("string")).alias("folder"),
     )
     manifest = assemble.task_manifest(files, tasks, assemble.prompt_totals(files, tasks), remotes)
@@ -192,8 +194,7 @@ def tasks_intake(spark, d):
 
 
 def slugs(spark, d):
-    first_line = F.substring_index("content", "\n", 1)
-    return inputs.files(spark, d).select(F.col("doc_id").alias("id"), text.slugify(first_line).alias("slug"))
+    return inputs.files(spark, d).select(F.col("doc_id").alias("id"), text.slugify(F.col("content")).alias("slug"))
 
 
 def result_names(spark, d):
