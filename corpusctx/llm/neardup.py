@@ -8,7 +8,7 @@
 3. Members of one bucket that are still in different components are compared among themselves,
    in blocks inside tasks; only links that join components come out. So no link between
    components is lost, and no group, of copies or not, ever emits all its pairs.
-4. Components of all verified links.
+4. Those links join first components to the final ones.
 
 A document without words (null or empty text too) is linked with nothing. Rows that share a
 doc_id count as one document: they share a component. A null doc_id is never linked: its
@@ -174,7 +174,7 @@ _GROUP = ["bucket", "low", "high"]
 
 
 def remaining_links(shared, labels, classes, docs, size, text_col="text", id_col="doc_id"):
-    """Verified links between members of one bucket that are in different components.
+    """Links between components, as pairs (a, b) of labels: two members that share a bucket are verified.
 
     A bucket is cut into blocks of about ``BLOCK`` members; every two blocks meet in one group.
     Sketches say which members of a group can have a link there; only those get their full sets
@@ -223,7 +223,7 @@ def remaining_links(shared, labels, classes, docs, size, text_col="text", id_col
                     a, b = root(int(group.label[i])), root(int(group.label[j]))
                     if a != b and _linked(sets[i], sets[j]):
                         parent[a] = b
-                        links.append(sorted((int(group.ids[i]), int(group.ids[j]))))
+                        links.append(sorted((int(group.label[i]), int(group.label[j]))))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
 
@@ -273,15 +273,17 @@ def verified(pairs, docs, size, text_col="text", id_col="doc_id"):
     return materialize(pairs.where(column_udf(prepare, "boolean")(F.struct("s_a", "s_b"))).select("a", "b").distinct(), "links")
 
 
+def _only_stars(edges):
+    """Whether every node has one smaller neighbour and no larger one, or larger ones alone."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.union(edges.select("v", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    return ends.where("up > 1 OR up > 0 AND down > 0").isEmpty()
+
+
 def components(links):
     """(doc_id, label): each linked document's smallest reachable one, by alternating star contractions."""
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
-    before = None
-    while True:
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == before:
-            break
-        before = state
+    while not _only_stars(edges):
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(materialize(least, "least"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -302,9 +304,10 @@ def near_duplicates(docs, size=5, text_col="text", id_col="doc_id"):
     shared = shared_buckets(bands(classes))
     stars = shared.where("doc_id != hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
     links = verified(likely(materialize(stars, "stars"), classes), docs, size, text_col, id_col)
-    more = remaining_links(shared, components(links), classes, docs, size, text_col, id_col)
-    labels = components(links.union(more))
-    named = classes.join(labels, "doc_id", "left").select("key_a", "key_b", F.coalesce("label", "doc_id").alias("component"))
+    first = components(links)
+    joined = components(remaining_links(shared, first, classes, docs, size, text_col, id_col)).select(F.col("doc_id").alias("first"), "label")
+    named = classes.join(first, "doc_id", "left").select("key_a", "key_b", F.coalesce("label", "doc_id").alias("first"))
+    named = materialize(named, "named").join(joined, "first", "left").select("key_a", "key_b", F.coalesce("label", "first").alias("component"))
     named = materialize(named, "named")
     rows = table.select("doc_id", "n_shingles", "key_a", "key_b").join(named, ["key_a", "key_b"], "left")
     linked = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component"))

@@ -392,3 +392,21 @@ def test_lexicon_shares_suffixes_and_finds_words(tmp_path, vocabulary):
     lexicon = bpe.Lexicon(tmp_path / "lexicon")
     assert len(lexicon.keys) == 8 + 3 + 3
     assert lexicon.find(words) == bpe.merge_words(vocabulary, words) and lexicon.find([b"ax", b"axingx", b""]) == [None] * 3
+
+
+def test_components_of_chains_stars_and_random_links(spark):
+    rng = np.random.default_rng(3)
+    chain = [(i, i + 1) for i in range(0, 40)]
+    star = [(100, i) for i in range(101, 160)] + [(i, 190) for i in range(170, 190)]
+    random = [tuple(map(int, p)) for p in rng.integers(200, 400, (120, 2))]
+    links = chain + star + random + star[:5]
+    least = {n: n for p in links for n in p}
+    while True:
+        before = dict(least)
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+        if before == least:
+            break
+    got = {r[0]: r[1] for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {n: m for n, m in least.items() if n != m}
+    assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
