@@ -20,9 +20,11 @@ def toxicity_filter(spark, docs, sf_dir):
 
 
 def language_filter(spark, docs, sf_dir):
-    """Documents whose language the field can tell: texts without a letter go, ``lang`` stays as it is."""
-    found = langid.predict(docs.select(*COLUMNS), langid.fit(docs))
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
+    """Documents that the field finds to be in their language, and in one; ``lang`` stays as it is.
+
+    Texts without a letter, gibberish, code-switched texts and texts in another language than their ``lang`` go.
+    """
+    return langid.in_one_language(docs.select(*COLUMNS), langid.fit(docs)).select(*COLUMNS)
 
 
 def near_dedup(spark, docs, sf_dir):

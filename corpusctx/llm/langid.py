@@ -4,7 +4,8 @@ Each word gets emission scores from hashed prefixes, suffixes and byte n-grams a
 of word counts per language; learned transitions say how readily the language changes from one
 word to the next. Forward-backward gives every word's language probabilities, exactly and for
 whole texts: words go by in blocks whose transfer matrices are multiplied up. A document's
-language is the one with the largest mean probability.
+language is the one with the largest mean probability. ``judge`` adds what a filter needs: the
+share of its words in each language and how many of their features the training texts know.
 
 The lexicon counts all training documents. Weights are fitted on code-switched sequences made of
 spans of a bounded sample of them. A text that is null or has no letter is ``und`` with score 0,
@@ -32,6 +33,14 @@ MAX_TRAIN = 1500
 TRAIN_BYTES = 1 << 16
 _SPAN, _LENGTH, _SEQUENCES, _ROUNDS, _RATE, _PENALTY = 12, 64, 2500, 40, 0.3, 1e-6
 _BLOCK = 64
+#: A document in one language has at least this share of its words in it (its ``lang``, if the field knows that one).
+MIN_SHARE = 0.6
+#: At least this share of its words' features must be known, else it is gibberish or in no language of the field.
+MIN_KNOWN = 0.6
+#: A text of fewer words is too short for these two; it only goes if its ``lang`` has less than ``SURE_OTHER``.
+MIN_WORDS, SURE_OTHER = 8, 0.1
+#: A feature is known if this share of one language's sampled distinct texts has it, and two of them at least.
+_KNOWN_TEXTS = 0.02
 
 # A word is a run of ASCII letters and of bytes of other characters.
 _GAP = np.ones(256, bool)
@@ -131,8 +140,8 @@ def lexicon_counts(docs, languages):
 class Model:
     """Weights of a fitted field."""
 
-    def __init__(self, languages, words, odds, weights, lexicon_weight, bias, transitions):
-        self.languages, self.words, self.odds = languages, words, odds
+    def __init__(self, languages, words, odds, weights, lexicon_weight, bias, transitions, familiar=None):
+        self.languages, self.words, self.odds, self.familiar = languages, words, odds, familiar
         self.weights, self.lexicon_weight, self.bias, self.transitions = weights, lexicon_weight, bias, transitions
 
     def known(self, hashes):
@@ -212,6 +221,17 @@ def marginals(scores, counts, transitions):
     return forward[at, block]
 
 
+def familiar_features(n_lang, data, starts, ends, text, labels):
+    """Whether enough texts of some language have each feature; ``labels``: one language number a text."""
+    counts = np.zeros((1 << BITS, n_lang), np.int32)
+    cuts = np.searchsorted(text, np.arange(len(labels) + 1))
+    for a, b, k in zip(cuts[:-1], cuts[1:], labels):
+        if b > a:
+            counts[np.unique(features(data, starts[a:b], ends[a:b])[1]), k] += 1
+    least = np.maximum(np.bincount(labels, minlength=n_lang) * _KNOWN_TEXTS, 2)
+    return (counts >= least).any(axis=1)
+
+
 def _train(languages, words, odds, texts, labels, seed=7):
     """Weights by gradient ascent on the log-likelihood of code-switched sequences of sampled spans."""
     rng, n_lang = np.random.default_rng(seed), len(languages)
@@ -267,7 +287,11 @@ def _train(languages, words, odds, texts, labels, seed=7):
             past += s**2
             steps.append(_RATE * s / np.sqrt(past))
         weights, bias, alpha, moves = weights + steps[0], bias + steps[1], alpha + float(steps[2][0]), moves + steps[3]
-    return Model(languages, words, odds, weights.astype(np.float32), np.float32(alpha), bias.astype(np.float32), moves)
+    once = sorted({t: i for i, t in enumerate(texts)}.values())
+    known_data, known_offsets = byte_view(pa.array([texts[i] for i in once]))
+    bounds = word_bounds(known_data, known_offsets)
+    familiar = familiar_features(n_lang, known_data, *bounds, np.array(labels)[once])
+    return Model(languages, words, odds, weights.astype(np.float32), np.float32(alpha), bias.astype(np.float32), moves, familiar)
 
 
 def fit(docs, lang_col="lang", text_col="text", id_col="doc_id"):
@@ -331,3 +355,61 @@ def predict(docs, model, text_col="text"):
 
     found = docs.withColumn("_lang", column_udf(prepare, "lang_pred string, score double")(F.col(text_col)))
     return found.withColumns({"lang_pred": F.col("_lang.lang_pred"), "lang_score": F.col("_lang.score")}).drop("_lang")
+
+
+def judge(docs, model, text_col="text", lang_col="lang"):
+    """``docs`` with ``lang_words``, ``lang_share`` and ``lang_known``, over the words that touch no digit.
+
+    ``lang_share`` is the mean probability of the document's ``lang``, or of the likeliest language
+    if the field doesn't know that one; ``lang_known`` the share of the words' features that are known.
+    """
+
+    def prepare():
+        words = Words()
+
+        def run(texts):
+            data, offsets = byte_view(texts)
+            n, known, shares = np.zeros(len(texts), np.int64), np.ones(len(texts)), np.zeros((len(texts), len(model.languages)))
+            for a, b in slices(offsets):
+                own, part = offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]
+                starts, ends, text = word_bounds(part, own)
+                if not len(starts):
+                    continue
+                chance = marginals(model.emissions(words, part, starts, ends), np.bincount(text, minlength=b - a), model.transitions)
+                # Runs of letters inside numbers, keys and digests are no words.
+                digit = np.concatenate([(part >= 48) & (part < 58), [False]])
+                before = digit[starts - 1] & (starts > own[text])
+                after = digit[ends] & (ends < own[text + 1])
+                good = np.flatnonzero(~(before | after))
+                if not len(good):
+                    continue
+                filled, begin = np.unique(text[good], return_index=True)
+                n[a + filled] = np.diff(np.append(begin, len(good)))
+                shares[a + filled] = _normal(np.add.reduceat(chance[good], begin, axis=0))
+                if model.familiar is not None:
+                    word, feature = features(part, starts[good], ends[good])
+                    has = np.bincount(text[good][word], model.familiar[feature], b - a)
+                    known[a + filled] = (has / np.maximum(np.bincount(text[good][word], minlength=b - a), 1))[filled]
+            ends_at = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(model.languages))
+            share = pa.ListArray.from_arrays(ends_at, pa.array(shares.ravel()))
+            return pa.StructArray.from_arrays([pa.array(n), share, pa.array(known)], ["words", "shares", "known"])
+
+        return run
+
+    found = docs.withColumn("_judged", column_udf(prepare, "words long, shares array<double>, known double")(F.col(text_col)))
+    names, shares = F.array(*[F.lit(x) for x in model.languages]), F.col("_judged.shares")
+    at = F.array_position(names, F.col(lang_col))
+    share = F.when(at > 0, F.get(shares, (at - 1).cast("int"))).otherwise(F.array_max(shares))
+    return found.withColumns({"lang_words": F.col("_judged.words"), "lang_share": share, "lang_known": F.col("_judged.known")}).drop("_judged")
+
+
+def in_one_language(docs, model, text_col="text", lang_col="lang"):
+    """Rows with a letter whose words the field finds to be in their language; without a model, all with a letter."""
+    lettered = docs.where(F.col(text_col).rlike(r"\p{L}"))
+    if model is None:
+        return lettered
+    judged = judge(lettered, model, text_col, lang_col)
+    long = (F.col("lang_share") >= MIN_SHARE) & (F.col("lang_known") >= MIN_KNOWN)
+    # With no word that touches no digit there is nothing to judge by.
+    short = (F.col("lang_words") == 0) | (F.col("lang_share") >= SURE_OTHER)
+    return judged.where(F.when(F.col("lang_words") >= MIN_WORDS, long).otherwise(short)).drop("lang_words", "lang_share", "lang_known")

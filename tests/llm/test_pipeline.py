@@ -1,6 +1,7 @@
 """The registered queries and the pipeline's stages, each stage judged on its own input."""
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as contract
@@ -46,3 +47,16 @@ def test_stages(spark, tmp_path):
             assert sum(r.length for r in out.collect()) == sum(len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for t in before.values())
         docs = out
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_language_stage_judges_by_the_field(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = {r.lang: r.text for r in docs.where("n_chars BETWEEN 900 AND 1500 AND text NOT LIKE '%!!%'").orderBy("doc_id").collect()}
+    gibberish = "xqzt vvkp wrrrt zzgh qqpl mnbv xkcd pqrs tvwx zbcd ghjk lmnp"
+    rows = [(90_001, gibberish, "en"), (90_002, text["en"][:500] + " " + text["de"][:500], "en"), (90_003, text["es"], "en"), (90_004, text["en"], None), (90_005, "Re.", "en")]
+    added = docs.union(spark.createDataFrame([(i, t, lang, "a", len(t)) for i, t, lang in rows], docs.schema))
+    kept = {r.doc_id for r in corpus_pipeline.language_filter(spark, added, SF).collect()}
+    assert kept & {i for i, _, _ in rows} == {90_004, 90_005}
+    assert len(kept) >= 0.99 * docs.count()
+    unlabelled = added.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language_filter(spark, unlabelled, SF).count() == added.count()
