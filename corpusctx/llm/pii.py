@@ -1,11 +1,13 @@
 """Information-theoretic sanitisation: patterns find entities, corpus co-occurrence the terms that disclose them.
 
-Emails, IP addresses, card and phone numbers are found by fixed patterns. A term near an entity
-discloses it when the corpus shows so: with t a word within ``NEAR`` words of entity c,
-    pmi(t, c) = log2(P(t near c) / P(t))  against  ic(c) = -log2(P(c)),
+Emails, IP addresses, card and phone numbers are found by fixed patterns. A term discloses an
+entity when the corpus shows so: with t a word anywhere in the texts that hold entity c,
+    pmi(t, c) = log2(P(t with c) / P(t))  against  ic(c) = -log2(P(c)),
 a term that reaches ``GENERALISE`` of the entity's information is generalised, and one that
-reaches ``REMOVE`` is removed. P(t) and P(c) are shares of all documents; P(t near c) counts
-distinct surroundings of c, so copies of a passage count once, and needs ``SUPPORT`` of them.
+reaches ``REMOVE`` is removed, wherever it stands in a text that holds the entity. P(t) and P(c)
+are shares of all documents; P(t with c) counts the texts of c, and needs ``SUPPORT`` of them.
+Copies count once: texts are counted by the ``NEAR`` words on either side of the entity and by
+each of ``SKETCH`` minima over hashes of their word triples, and the least of these counts holds.
 
 Null text counts as empty and has no spans. Offsets are code points, ends exclusive. Spans of one
 kind never overlap. Repeated rows give repeated results, rows that share an id keep their own
@@ -14,8 +16,9 @@ spans, and rows without an id count as one document; an empty table gives no row
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -24,7 +27,8 @@ from corpusctx.sources.scratch import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-NEAR, SUPPORT, GENERALISE, REMOVE = 5, 3, 0.6, 0.9
+NEAR, SKETCH, SUPPORT, GENERALISE, REMOVE = 5, 4, 3, 0.6, 0.9
+_KEYS = ["around", *[f"copy{k}" for k in range(SKETCH)]]
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
@@ -91,20 +95,6 @@ def base_spans(text):
 _WORD = re.compile(r"[^\W\d_]{3,64}")
 
 
-def surroundings(text, start, end):
-    """(word, start, end) of up to ``NEAR`` words on either side of a span, within its line and 500 characters."""
-    low = max(text.rfind("\n", 0, start) + 1, start - 500)
-    high = text.find("\n", end, end + 500)
-    high = end + 500 if high < 0 else high
-    before = [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text, low, start)][-NEAR:]
-    after = []
-    for m in _WORD.finditer(text, end, min(high, len(text))):
-        after.append((m[0].lower(), m.start(), m.end()))
-        if len(after) == NEAR:
-            break
-    return before + after
-
-
 _SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -139,32 +129,67 @@ def _entity(kind, shown):
     return name if len(name) <= 300 else f"{kind}#{hashlib.sha256(name.encode()).hexdigest()}"
 
 
+def free_words(text, spans):
+    """(word, start, end) of the words that no span covers, in order."""
+    starts, ends = _covered(spans)
+
+    def outside(m):
+        # The last stretch that starts before the word's end must be over by its start.
+        k = bisect_left(starts, m.end()) - 1
+        return k < 0 or ends[k] <= m.start()
+
+    return [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text) if outside(m)]
+
+
+def sketch(words):
+    """``SKETCH`` least hashes of the triples of words; copies agree in most of them."""
+    triples = {" ".join(words[k : k + 3]) for k in range(max(len(words) - 2, 1))}
+    digests = b"".join(hashlib.blake2b(t.encode(), digest_size=8 * SKETCH).digest() for t in triples)
+    return np.frombuffer(digests, "<i8").reshape(-1, SKETCH).min(axis=0).tolist()
+
+
 def contexts(docs, text_col="text", id_col="doc_id"):
-    """One row per entity and word near it: (doc_id, text_hash, entity, around, term, start, end)."""
+    """One row per document and entity it holds: (doc_id, text_hash, entity, around, copy0, ..).
+
+    ``around``: the least of the ``NEAR`` words on either side over the entity's places; ``copy0, ..``: the text's sketch.
+    """
 
     def run(batches):
         for batch in batches:
             rows = []
             for doc, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _strings(batch.column(2))):
-                text = text or ""
-                spans = base_spans(text)
-                starts, ends = _covered(spans)
-
-                def outside(word):
-                    # The last stretch that starts before the word's end must be over by its start.
-                    k = bisect_left(starts, word[2]) - 1
-                    return k < 0 or ends[k] <= word[1]
-
+                spans, least = base_spans(text or ""), {}
+                free = free_words(text, spans) if spans else []
+                begins, ends = [w[1] for w in free], [w[2] for w in free]
                 for kind, start, end in spans:
-                    near = [w for w in surroundings(text, start, end) if outside(w)]
-                    own = (doc, digest, _entity(kind, text[start:end]), " ".join(w[0] for w in near))
-                    rows += [(*own, *w) for w in near] or [(*own, None, None, None)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names)
+                    before, after = bisect_right(ends, start), bisect_left(begins, end)
+                    near = free[max(before - NEAR, 0) : before] + free[after : after + NEAR]
+                    entity, around = _entity(kind, text[start:end]), " ".join(w[0] for w in near)
+                    least[entity] = min(least.get(entity, around), around)
+                copy = sketch([w[0] for w in free]) if least else []
+                rows += [(doc, digest, *own, *copy) for own in least.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names)
 
     chosen = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    names = ["doc_id", "text_hash", "entity", "around", "term", "start", "end"]
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
-    return materialize(chosen.mapInArrow(run, "doc_id string, text_hash long, entity string, around string, term string, start int, end int"), "contexts")
+    names = ["doc_id", "text_hash", "entity", *_KEYS]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), *[pa.int64()] * SKETCH]
+    schema = "doc_id string, text_hash long, entity string, around string" + "".join(f", copy{k} long" for k in range(SKETCH))
+    return materialize(chosen.mapInArrow(run, schema), "contexts")
+
+
+def text_terms(docs, hashes, text_col="text"):
+    """(text_hash, term): the different words outside the entities of the texts with these hashes."""
+
+    def run(batches):
+        for batch in batches:
+            for digest, text in zip(batch.column(0).to_pylist(), _strings(batch.column(1))):
+                terms = sorted({w[0] for w in free_words(text, base_spans(text))})
+                for at in range(0, len(terms), 1 << 16):
+                    part = terms[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array([digest] * len(part), pa.int64()), pa.array(part, pa.string())], ["text_hash", "term"])
+
+    held = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    return held.join(hashes, "text_hash", "left_semi").mapInArrow(run, "text_hash long, term string").distinct()
 
 
 def document_frequency(docs, terms, text_col="text"):
@@ -187,39 +212,54 @@ def document_frequency(docs, terms, text_col="text"):
 
 
 def disclosing_terms(near, docs, text_col="text"):
-    """(entity, term, share): how much of an entity's information a term near it reveals, from ``GENERALISE`` on."""
-    windows = near.select("entity", "around").distinct().groupBy("entity").agg(F.count("*").alias("windows"))
-    holders = near.select("entity", "doc_id").distinct().groupBy("entity").agg(F.count("*").alias("holders"))
-    often = near.where("term IS NOT NULL").select("entity", "term", "around").distinct().groupBy("entity", "term").agg(F.count("*").alias("together"))
+    """(text_hash, term, share): how much of the information of an entity of the text a term reveals, from ``GENERALISE`` on."""
+    texts = F.least(*[F.countDistinct(k) for k in _KEYS])
+    entities = near.groupBy("entity").agg(texts.alias("texts"), F.countDistinct(F.coalesce("doc_id", F.lit(""))).alias("holders"))
+    entities = materialize(entities.where(F.col("texts") >= SUPPORT), "entities")
+    held = near.join(entities.select("entity"), "entity").groupBy("text_hash", "entity").agg(*[F.min(k).alias(k) for k in _KEYS])
+    held = materialize(held, "held")
+    if held.isEmpty():  # no entity has the support, so no term can disclose
+        return held.select("text_hash", F.lit("").alias("term"), F.lit(0.0).alias("share"))
+    words = materialize(text_terms(docs, held.select("text_hash").distinct(), text_col), "words")
+    # Equal rows are summed up before they move, so no popular entity or word is one task's work.
+    often = held.join(words, "text_hash").groupBy("entity", "term").agg(texts.alias("together"))
     often = materialize(often.where(F.col("together") >= SUPPORT), "often")
-    terms = materialize(often.select("term").distinct(), "terms")
     total = docs.count()
-    if terms.isEmpty():  # no term has the support, so none can disclose
-        return often.select("entity", "term", F.lit(0.0).alias("share"))
-    seen = document_frequency(docs, terms, text_col)
-    joined = often.join(windows, "entity").join(holders, "entity").join(materialize(seen, "seen"), "term")
+    seen = document_frequency(docs, materialize(often.select("term").distinct(), "terms"), text_col)
+    joined = often.join(entities, "entity").join(materialize(seen, "seen"), "term")
     information = -F.log2(F.col("holders") / total)
-    pmi = F.log2(F.col("together") / F.col("windows") / (F.col("n") / total))
+    pmi = F.log2(F.least(F.col("together") / F.col("texts"), F.lit(1.0)) / (F.col("n") / total))
     share = F.when(information > 0, pmi / information).otherwise(F.lit(0.0))
-    return materialize(joined.select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE), "disclosing")
+    disclosing = materialize(joined.select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE), "disclosing")
+    shown = held.join(disclosing, "entity").join(words, ["text_hash", "term"])
+    return shown.groupBy("text_hash", "term").agg(F.max("share").alias("share"))
 
 
-def term_spans(near, disclosing):
-    """(doc_id, text_hash, terms): spans of disclosing terms per document, each with what it reveals."""
-    key = ["doc_id", "text_hash"]
-    hits = near.join(disclosing, ["entity", "term"]).groupBy(*key, "start", "end").agg(F.max("share").alias("share"))
-    # Bounded by the length of one text.
-    return hits.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
+def mark_terms(row):
+    """Spans of a text's disclosing terms outside its entities, each with what it reveals."""
+    share = {t["term"]: t["share"] for t in row["shown"]}
+    found = free_words(row["text"], [(s["kind"], s["start"], s["end"]) for s in row["base"]])
+    return [{"start": start, "end": end, "share": share[word]} for word, start, end in found if word in share]
+
+
+_TERMS = "array<struct<start:int,end:int,share:double>>"
 
 
 def find_spans(docs, text_col="text", id_col="doc_id"):
     """``docs`` with ``base`` (pattern spans) and ``terms`` (spans of disclosing terms, with their share)."""
     near = contexts(docs, text_col, id_col)
-    terms = materialize(term_spans(near, disclosing_terms(near, docs, text_col)), "terms")
-    terms = terms.withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"})
-    found = find_base(docs, text_col)
-    same = F.col(id_col).cast("string").eqNullSafe(F.col("_doc")) & (F.xxhash64(text_col) == F.col("_hash"))
-    return found.join(terms, same, "left").drop("_doc", "_hash")
+    # Bounded by the different words of one text.
+    shown = disclosing_terms(near, docs, text_col).groupBy("text_hash").agg(F.collect_list(F.struct("term", "share")).alias("_shown"))
+    shown = materialize(shown, "terms").withColumnRenamed("text_hash", "_hash")
+
+    def prepare():
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("share", pa.float64())]))
+        return lambda rows: pa.array([mark_terms(r) if r["shown"] is not None else None for r in (x.as_py() for x in rows)], kind)
+
+    found = find_base(docs, text_col).join(shown, F.xxhash64(text_col) == F.col("_hash"), "left")
+    has = F.col("_shown").isNotNull()
+    row = F.struct(F.when(has, F.col(text_col)).alias("text"), F.when(has, F.col("base")).alias("base"), F.col("_shown").alias("shown"))
+    return found.withColumn("terms", column_udf(prepare, _TERMS)(row)).drop("_hash", "_shown")
 
 
 def sanitise(docs, text_col="text", id_col="doc_id"):

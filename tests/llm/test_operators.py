@@ -410,3 +410,21 @@ def test_components_of_chains_stars_and_random_links(spark):
     got = {r[0]: r[1] for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {n: m for n, m in least.items() if n != m}
     assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pii_terms_anywhere_in_the_texts_of_an_entity(spark):
+    rng = random.Random(10)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
+
+    def some(n):
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    rows = [(i, some(40)) for i in range(300)]
+    rows += [(1000 + i, f"Wolfhart {some(30)}\n{some(10)}\nContact jo@ex.org\n{some(30)} wolfhart {some(5)}") for i in range(4)]
+    copy = f"Ulmenhof {some(30)} to al@ex.org {some(20)}"
+    rows += [(2000 + i, f"{copy} {some(3)}") for i in range(4)]  # copies of one text prove nothing
+    rows += [(3000 + i, t) for i, t in enumerate([rows[300][1]] * 2 + ["Wolfhart alone"])]
+    clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in [1000, 1001, 1002, 1003, 3000, 3001]:
+        assert "wolfhart" not in clean[i].lower() and "[EMAIL]" in clean[i]
+    assert all("Ulmenhof" in clean[2000 + i] and "[EMAIL]" in clean[2000 + i] for i in range(4)) and clean[3002] == "Wolfhart alone"
