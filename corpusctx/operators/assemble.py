@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpusctx.functions import paths, text
 from corpusctx.operators import chunks
 from corpusctx.operators.joins import join_on, join_wide, without_keys
-from corpusctx.operators.ordering import path_order
+from corpusctx.operators.ordering import number_rows, path_order
 from corpusctx.sources.scratch import materialize
 
 # A request is one cell; a prompt beyond this many characters can only be had in chunks or parts.
@@ -215,13 +215,51 @@ def remote_lines(remotes):
     return remotes.withColumn("line", line)
 
 
+def local_lines(files, keys):
+    return files.select(*keys, "path", F.concat(F.lit("*   `"), F.col("path"), F.lit("`\n")).alias("line"))
+
+
+def manifest_chunks(files, tasks, remotes=None, keys=("project",), chunk_chars=chunks.CHUNK_CHARS):
+    """The source lines of each task's manifest, whatever their number: ``task_id, chunk_no, n_chars, chunk``.
+
+    Local lines are cut once per group and shared by its tasks; remote lines begin a chunk. The
+    chunks in order are ``sources_text``. (keys, path) must be unique.
+    """
+    keys = list(keys)
+    lines = local_lines(files, keys).select(*keys, paths.order_key(F.col("path")).alias("_path"), "line")
+    local = materialize(chunks.text_chunks(lines, keys, ["_path"], "line", chunk_chars), "local")
+    counts = materialize(local.groupBy(*keys).agg((F.max("chunk_no") + 1).alias("_n")), "counts")
+    placed = join_on(tasks.select("task_id", *keys), counts, keys, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    if remotes is None:
+        placed = placed.withColumn("_all", F.col("_n"))
+    else:
+        # Equal lines may be repeated: their number tells them apart.
+        named = remote_lines(remotes).select("task_id", paths.name(F.col("folder")).alias("_name"), "line")
+        numbered = number_rows(named, ["task_id"], ["_name", "line"])
+        far = materialize(chunks.text_chunks(numbered, ["task_id"], ["seq"], "line", chunk_chars), "remote")
+        far_counts = materialize(far.groupBy("task_id").agg((F.max("chunk_no") + 1).alias("_r")), "remote_counts")
+        placed = placed.join(far_counts, "task_id", "left")
+        placed = placed.withColumn("_all", F.col("_n") + F.coalesce("_r", F.lit(0))).drop("_r")
+    numbers = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("chunk_no")
+    wanted = placed.where("_n > 0").select("task_id", *keys, "_all", numbers)
+    out = join_on(wanted, local, [*keys, "chunk_no"]).select("task_id", "chunk_no", "_all", "chunk")
+    none = placed.where("_all = 0").select("task_id", F.lit(0).cast("bigint").alias("chunk_no"), F.lit(1).cast("bigint").alias("_all"), F.lit(NO_SOURCES + "\n").alias("chunk"))
+    out = out.unionByName(none)
+    if remotes is not None:
+        own = placed.select("task_id", "_n", "_all").join(far, "task_id")
+        out = out.unionByName(own.select("task_id", (F.col("_n") + F.col("chunk_no")).alias("chunk_no"), "_all", "chunk"))
+    # The last line has no line end.
+    ended = F.when(F.col("chunk_no") == F.col("_all") - 1, F.left("chunk", F.length("chunk") - 1)).otherwise(F.col("chunk"))
+    return out.withColumn("chunk", ended).where("chunk <> ''").select("task_id", "chunk_no", F.length("chunk").cast("bigint").alias("n_chars"), "chunk")
+
+
 def task_manifest(files, tasks, totals, remotes=None, keys=("project",), max_chars=MAX_CELL_CHARS):
     """One record per task: source lines, model list, token estimate.
 
     Local lines are joined once per group and shared by its tasks. Lists too long for a
-    cell leave ``sources_text`` null; ``n_sources`` is always whole.
+    cell leave ``sources_text`` null; ``manifest_chunks`` has every line, and ``n_sources`` is always whole.
     """
-    lines = files.select(*keys, "path", F.concat(F.lit("*   `"), F.col("path"), F.lit("`\n")).alias("line"))
+    lines = local_lines(files, keys)
     local = join_texts(lines, list(keys), [paths.order_key(F.col("path"))], "line", "local_text", max_chars)
     joined = join_wide(tasks, local.withColumnsRenamed({"n": "n_local", "chars": "local_chars"}), list(keys))
     if remotes is None:

@@ -26,6 +26,7 @@ class Prepared:
     chunks: DataFrame
     prompts: DataFrame
     manifest: DataFrame
+    manifest_chunks: DataFrame
     plan: DataFrame
     requests: DataFrame
 
@@ -66,6 +67,7 @@ def prepare(
         chunks=assemble.prompt_chunks(assemble.body_chunks(blocks, keys), tasks, keys=keys, templates=templates),
         prompts=prompts,
         manifest=assemble.task_manifest(chosen, tasks, totals, keys=keys),
+        manifest_chunks=assemble.manifest_chunks(chosen, tasks, keys=keys),
         plan=plan,
         requests=dispatch.build_requests(plan, prompts),
     )

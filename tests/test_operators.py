@@ -252,6 +252,23 @@ def test_manifest(rows):
     assert text_.startswith("# Task: four\n\nagain\n") and "2024-01-01T00:00:00+00:00" in text_ and "m/1, m/2" in text_
 
 
+def test_manifest_chunks_hold_every_line(rows):
+    files, tasks = rows(FILES, FILE_SCHEMA), rows(TASKS, TASK_SCHEMA)
+    remotes = rows([(1, "https://h/r", "dev", "0123456789abcdef", "out/02-r")] * 2 + [(3, "https://h/a", None, "ff" * 20, "out/01-a")],
+                   "task_id bigint, base_url string, branch string, commit string, folder string")
+    totals = assemble.prompt_totals(files, tasks)
+    for far in (remotes, None):
+        # The cell is null beyond its limit; the chunks are whole at every size.
+        assert assemble.task_manifest(files, tasks, totals, far, max_chars=20).where("task_id = 1").first().sources_text is None
+        expected = {r.task_id: r.sources_text for r in assemble.task_manifest(files, tasks, totals, far).collect()}
+        for size in (7, 1000):
+            got = {}
+            for r in assemble.manifest_chunks(files, tasks, far, chunk_chars=size).orderBy("task_id", "chunk_no").collect():
+                assert r.n_chars == len(r.chunk) <= max(size, len(assemble.NO_SOURCES))
+                got[r.task_id] = got.get(r.task_id, "") + r.chunk
+            assert got == expected
+
+
 def mapping(rows, names):
     data = [("p", n, i) for i, n in enumerate(names)]
     df = rows(data, "project string, name string, mtime bigint")
