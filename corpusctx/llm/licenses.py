@@ -3,8 +3,8 @@
 Text is normalised (letters and digits in lower case, everything else a blank) and cut into its
 lines; a template line matches a text line when the Dice coefficient of their bigram sets is at
 least the threshold. Since 2 min / (a + b) bounds the coefficient, only templates whose number of
-bigrams lies within those bounds are compared at all. Runs of lines are compared too, so that a
-notice wrapped over several lines is found: a text window has as many words as the template.
+bigrams lies within those bounds are compared at all. Every run of words, over any lines, is
+compared too, so that a notice that is wrapped, cut short or added to is found.
 
 Null and empty texts match nothing. Ties go to the template that sorts first.
 """
@@ -87,16 +87,28 @@ class Scanner:
             for name, _, wanted in self.parts:
                 if self.fits(len(own), len(wanted)):
                     offer(name, k, k, dice(own, wanted))
+        pairs = list(zip(sequence, sequence[1:]))
         for name, size, wanted in self.parts:
-            tried = set()
-            for i in known:
-                if sequence[i : i + 2] and (tuple(sequence[i : i + 2]) in wanted or (sequence[i],) in wanted):
-                    for begin in range(max(0, i - size + 2), min(i, len(sequence) - size) + 1):
-                        if begin not in tried:
-                            tried.add(begin)
-                            own = bigrams(sequence[begin : begin + size])
-                            if self.fits(len(own), len(wanted)):
-                                offer(name, line_of[begin], line_of[begin + size - 1], dice(own, wanted))
+            if size == 1:
+                for i, w in enumerate(sequence):
+                    if (w,) in wanted:
+                        offer(name, line_of[i], line_of[i], 1.0)
+                        break
+                continue
+            # A best span begins and ends with a bigram of the template, as others only add to its size.
+            at = [i for i in known if i < len(pairs) and pairs[i] in wanted]
+            for i in dict.fromkeys(at):
+                seen, shared = set(), 0
+                for j in range(i, len(pairs)):
+                    if j > i and pairs[j] == pairs[i]:
+                        break  # the span from the next bigram on has the same set
+                    if pairs[j] not in seen:
+                        seen.add(pairs[j])
+                        if 2 * len(wanted) < self.threshold * (len(seen) + len(wanted)):
+                            break
+                        if pairs[j] in wanted:
+                            shared += 1
+                            offer(name, line_of[i], line_of[j + 1], 2 * shared / (len(seen) + len(wanted)))
         return [(name, *best[name]) for name in sorted(best)]
 
 

@@ -428,3 +428,25 @@ def test_pii_terms_anywhere_in_the_texts_of_an_entity(spark):
     for i in [1000, 1001, 1002, 1003, 3000, 3001]:
         assert "wolfhart" not in clean[i].lower() and "[EMAIL]" in clean[i]
     assert all("Ulmenhof" in clean[2000 + i] and "[EMAIL]" in clean[2000 + i] for i in range(4)) and clean[3002] == "Wolfhart alone"
+
+
+def test_licenses_against_every_span():
+    rng = random.Random(11)
+    grant = licenses.words(licenses.TEMPLATES["MIT-grant"])
+    added = [*grant[:5], "w", "x", *grant[5:12], "y", "z", *grant[12:]]
+    texts = [" ".join(grant[:9]) + "\n" + " ".join(grant[9:17]), " ".join(added[:10]) + "\n" + " ".join(added[10:])]
+    for _ in range(60):
+        body = licenses.words(rng.choice(list(licenses.TEMPLATES.values())))
+        for _ in range(rng.randrange(5)):
+            k = rng.randrange(len(body))
+            body[k:k + rng.randrange(2)] = [rng.choice([*body, "other"])] * rng.randrange(3)
+        texts.append("".join(w + rng.choice("   \n") for w in ["some", "text", *body, "more"]))
+    scanner = licenses.Scanner({**licenses.TEMPLATES, "one": "Unlicensed"})
+    for text in [*texts, "it is\nunlicensed now"]:
+        words, best = licenses.words(text), {}
+        for name, _, wanted in scanner.parts:
+            score = max(licenses.dice(licenses.bigrams(words[a:b]), wanted) for a in range(len(words)) for b in range(a + 1, len(words) + 1))
+            if score >= licenses.THRESHOLD:
+                best[name] = pytest.approx(score)
+        assert {m[0]: m[3] for m in scanner.scan(text)} == best
+    assert [m[0] for m in scanner.scan(texts[0])] == [m[0] for m in scanner.scan(texts[1])] == ["MIT-grant"]
