@@ -88,7 +88,8 @@ def search_block(ids, vectors, query_ids, queries, neighbours, longest, seed):
 def nearest(vectors, queries, neighbours=NEIGHBOURS, vector_col="embedding", id_col="vec_id", seed=11):
     """(query_id, rank, vec_id, score): each query's nearest rows by largest inner product, ties to smaller ids."""
     rows = materialize(usable(vectors, vector_col, id_col), "vectors")
-    asked = materialize(usable(queries, vector_col, id_col), "queries")
+    # A repeated query is asked once, else its finds would take several ranks each.
+    asked = materialize(usable(queries, vector_col, id_col).dropDuplicates(["vec_id", "vector"]), "queries")
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     told = rows.agg(F.count("*").alias("n"), F.max(norm).alias("longest"), F.mode(F.size("vector"), deterministic=True).alias("size")).first()
     n_queries = asked.count()
@@ -112,6 +113,5 @@ def nearest(vectors, queries, neighbours=NEIGHBOURS, vector_col="embedding", id_
 
     both = sides[0].union(sides[1]).where(F.size("vector") == size)
     near = both.groupBy("block", "asked").applyInArrow(run, "query_id long, vec_id long, score double")
-    # One row per query and block of queries that are repeated: the ranks count distinct finds.
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", place).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")

@@ -450,3 +450,11 @@ def test_licenses_against_every_span():
                 best[name] = pytest.approx(score)
         assert {m[0]: m[3] for m in scanner.scan(text)} == best
     assert [m[0] for m in scanner.scan(texts[0])] == [m[0] for m in scanner.scan(texts[1])] == ["MIT-grant"]
+
+
+def test_ann_repeated_queries_keep_all_their_neighbours(spark):
+    rng = np.random.default_rng(12)
+    df = spark.createDataFrame([(i, rng.standard_normal(8).tolist()) for i in range(60)], "vec_id long, embedding array<double>")
+    once = ann.nearest(df, df.where("vec_id = 0"))
+    three = ann.nearest(df, df.where("vec_id = 0").union(df.where("vec_id = 0")).union(df.where("vec_id = 0")))
+    assert sorted(three.collect()) == sorted(once.collect()) and three.select("vec_id").distinct().count() == 20
