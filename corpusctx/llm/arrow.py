@@ -22,12 +22,12 @@ def byte_view(array):
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets, limit=SLICE_BYTES):
-    """Ranges of rows whose bytes sum to at most ``limit``; a longer row is a range of its own."""
+def slices(offsets, limit=SLICE_BYTES, rows=None):
+    """Ranges of at most ``rows`` rows whose bytes sum to at most ``limit``; a longer row is a range of its own."""
     start, n = 0, len(offsets) - 1
     while start < n:
         stop = int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1
-        stop = min(max(stop, start + 1), n)
+        stop = min(max(stop, start + 1), n, start + (rows or n))
         yield start, stop
         start = stop
 

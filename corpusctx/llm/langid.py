@@ -3,36 +3,39 @@
 Each word gets emission scores from hashed prefixes, suffixes and byte n-grams and from a lexicon
 of word counts per language; learned transitions say how readily the language changes from one
 word to the next. Forward-backward gives every word's language probabilities, exactly and for
-whole texts: words go by in blocks whose transfer matrices are multiplied up. A document's
-language is the one with the largest mean probability. ``judge`` adds what a filter needs: the
+whole texts: words go by in blocks whose transfer matrices are multiplied up, and a text longer
+than ``FIELD_BYTES`` in segments that end at blanks and pass their messages on, so memory follows
+the segment and not the text. A document's language is the one with the largest mean probability. ``judge`` adds what a filter needs: the
 share of its words in each language and how many of their features the training texts know.
 
 The lexicon counts all training documents. Weights are fitted on code-switched sequences made of
 spans of a bounded sample of them. A text that is null or has no letter is ``und`` with score 0,
-and so is every text when there are no labelled rows.
+and so is every text when there are no labelled rows. Repeated rows get repeated results; columns
+named ``lang_pred`` and ``lang_score`` are replaced. Every value of ``lang`` is a language: the
+model holds a weight per feature and language.
 """
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import functions as F
 
 from corpusctx.llm.arrow import byte_view, column_udf, slices
-from corpusctx.llm.bounded import hashed_sample, most_frequent
+from corpusctx.llm.bounded import most_frequent
 from corpusctx.llm.shingles import Words
 from corpusctx.sources.scratch import materialize
 
 UNKNOWN = "und"
 BITS = 16
 LEXICON_WORDS = 1 << 16
-MAX_LANGUAGES = 256
-#: Training documents whose words the weights are fitted on, chosen by a hash of their id.
+#: Training documents whose words the weights are fitted on, chosen by a hash of their id; at least 8 a language.
 MAX_TRAIN = 1500
 #: Only documents up to this size are in that sample, each whole, so it stays bounded.
 TRAIN_BYTES = 1 << 16
 _SPAN, _LENGTH, _SEQUENCES, _ROUNDS, _RATE, _PENALTY = 12, 64, 2500, 40, 0.3, 1e-6
 _BLOCK = 64
+#: Bytes of text that the field works on at once with four languages; fewer with more of them.
+FIELD_BYTES = 1 << 17
+_FIELD_TEXTS = 1024
 #: A document in one language has at least this share of its words in it (its ``lang``, if the field knows that one).
 MIN_SHARE = 0.6
 #: At least this share of its words' features must be known, else it is gibberish or in no language of the field.
@@ -171,6 +174,26 @@ class Model:
         return out
 
 
+    def familiarity(self, data, starts, ends):
+        """How many features each word has that enough training texts know, and how many in all."""
+        low, size = _LOWER[data], ends - starts
+        has, all_of = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        for widths, salt, at_end in ((_PREFIX, 0, False), (_SUFFIX, 8, True)):
+            for k in widths:
+                own = np.flatnonzero(size >= k)
+                has[own] += self.familiar[_hash(low, (ends[own] - k) if at_end else starts[own], k, salt + k)]
+                all_of[own] += 1
+        for k in _GRAM:
+            own = np.flatnonzero(size >= k)
+            if len(own):
+                count = size[own] - k + 1
+                begin = np.cumsum(count) - count
+                at = np.repeat(starts[own] - begin, count) + np.arange(int(count.sum()))
+                has[own] += np.add.reduceat(self.familiar[_hash(low, at, k, 16 + k)].astype(np.int64), begin)
+                all_of[own] += count
+        return has, all_of
+
+
 def _potentials(scores):
     return np.exp(scores - scores.max(axis=-1, keepdims=True))
 
@@ -179,12 +202,8 @@ def _normal(x, axes=-1):
     return x / np.maximum(x.sum(axis=axes, keepdims=True), 1e-300)
 
 
-def marginals(scores, counts, transitions):
-    """Language probabilities of each word; ``counts``: words of each text, in order.
-
-    Words are dealt into blocks. The product of a block's transition and emission matrices
-    carries messages across it, so texts of any length take few steps.
-    """
+def _blocks(scores, counts, transitions):
+    """Words dealt into blocks of one text each: their places, potentials and transfer matrices."""
     n, languages = scores.shape
     step = np.exp(transitions - transitions.max())
     blocks = -(-counts // _BLOCK)
@@ -201,7 +220,33 @@ def marginals(scores, counts, transitions):
     for t in range(_BLOCK):
         moved = _normal((carry @ step) * m[t][:, None, :], (-1, -2))
         carry = np.where(used[t][:, None, None], moved, carry)
+    return step, blocks, first, block, at, m, used, carry
+
+
+def transfer(scores, transitions):
+    """Message matrix of a run of words of one text, from what enters it to what leaves it."""
+    out = np.eye(scores.shape[1])
+    if len(scores):
+        for matrix in _blocks(scores, np.array([len(scores)]), transitions)[-1]:
+            out = _normal(out @ matrix, (-1, -2))
+    return out
+
+
+def marginals(scores, counts, transitions, entering=None, leaving=None):
+    """Language probabilities of each word; ``counts``: words of each text, in order.
+
+    The product of a block's transition and emission matrices carries messages across it, so
+    texts of any length take few steps. For a segment of one text, ``entering`` and ``leaving``
+    are the messages of the words before and after it.
+    """
+    languages = scores.shape[1]
+    step, blocks, first, block, at, m, used, carry = _blocks(scores, counts, transitions)
+    n_blocks = len(carry)
     enter, leave = np.full((n_blocks, languages), 1.0 / languages), np.full((n_blocks, languages), 1.0 / languages)
+    if entering is not None:
+        enter[0] = entering
+    if leaving is not None:
+        leave[-1] = leaving
     order = np.argsort(-blocks, kind="stable")
     for k in range(1, int(blocks.max(initial=0))):
         long = first[order[: np.searchsorted(-blocks[order], -k, "left")]] + k
@@ -221,6 +266,55 @@ def marginals(scores, counts, transitions):
     return forward[at, block]
 
 
+def _segments(data, limit):
+    """Bounds of pieces of about ``limit`` bytes that end at blanks."""
+    bounds = [0]
+    while bounds[-1] < len(data):
+        stop = min(bounds[-1] + limit, len(data))
+        while stop < len(data) and data[stop] != 32 and not 9 <= data[stop] <= 13:
+            near = data[stop : stop + limit]
+            blank = np.flatnonzero((near == 32) | (near >= 9) & (near <= 13))
+            stop += int(blank[0]) if len(blank) else len(near)
+        bounds.append(stop)
+    return list(zip(bounds[:-1], bounds[1:]))
+
+
+def fields(model, words, data, offsets):
+    """Parts of texts of bounded size with their words' probabilities, exact over whole texts.
+
+    Yields (number of the first text, bytes, offsets, starts, ends, text of each word, probabilities);
+    a long text comes in several parts. Parts without words are left out.
+    """
+    limit = max(FIELD_BYTES * 4 // max(len(model.languages), 4), 1 << 11)
+    for a, b in slices(offsets, limit, _FIELD_TEXTS):
+        part = data[offsets[a] : offsets[b]]
+        if b - a > 1 or len(part) <= limit:
+            own = offsets[a : b + 1] - offsets[a]
+            starts, ends, text = word_bounds(part, own)
+            if len(starts):
+                chance = marginals(model.emissions(words, part, starts, ends), np.bincount(text, minlength=b - a), model.transitions)
+                yield a, part, own, starts, ends, text, chance
+            continue
+        bounds = _segments(part, limit)
+
+        def scores(k):
+            piece = part[bounds[k][0] : bounds[k][1]]
+            own = np.array([0, len(piece)])
+            starts, ends, text = word_bounds(piece, own)
+            return piece, own, starts, ends, text, model.emissions(words, piece, starts, ends)
+
+        across = [transfer(scores(k)[-1], model.transitions) for k in range(len(bounds))]
+        leaving = [np.full(len(model.languages), 1.0 / len(model.languages))]
+        for matrix in across[:0:-1]:
+            leaving.append(_normal(matrix @ leaving[-1]))
+        entering = leaving[0]
+        for k, leave in enumerate(leaving[::-1]):
+            piece, own, starts, ends, text, emission = scores(k)
+            if len(starts):
+                yield a, piece, own, starts, ends, text, marginals(emission, np.array([len(starts)]), model.transitions, entering, leave)
+            entering = _normal(entering @ across[k])
+
+
 def familiar_features(n_lang, data, starts, ends, text, labels):
     """Whether enough texts of some language have each feature; ``labels``: one language number a text."""
     counts = np.zeros((1 << BITS, n_lang), np.int32)
@@ -273,14 +367,15 @@ def _train(languages, words, odds, texts, labels, seed=7):
         for t in range(_LENGTH - 2, -1, -1):
             betas[:, t] = _normal((m[:, t + 1] * betas[:, t + 1]) @ step.T)
         gap = hot - _normal(alphas * betas)
-        pair = alphas[:, :-1, :, None] * step * (m[:, 1:] * betas[:, 1:])[:, :, None, :]
-        pair = _normal(pair, (-1, -2))
+        after = m[:, 1:] * betas[:, 1:]
+        mass = ((alphas[:, :-1] @ step) * after).sum(axis=-1, keepdims=True)
+        pair = step * ((alphas[:, :-1] / np.maximum(mass, 1e-300)).reshape(-1, n_lang).T @ after.reshape(-1, n_lang))
         by_word = np.stack([np.bincount(where.ravel(), gap[:, :, k].ravel(), len(used)) for k in range(n_lang)], axis=1)
         slopes = [
             np.stack([np.bincount(feature, by_word[word, k], 1 << BITS) for k in range(n_lang)], axis=1) - _PENALTY * rows.size * weights,
             by_word.sum(axis=0),
             np.array([(by_word * lexicon).sum()]),
-            np.einsum("bti,btj->ij", hot[:, :-1], hot[:, 1:]) - pair.sum(axis=(0, 1)),
+            hot[:, :-1].reshape(-1, n_lang).T @ hot[:, 1:].reshape(-1, n_lang) - pair,
         ]
         steps = []
         for s, past in zip(slopes, seen):
@@ -298,11 +393,12 @@ def fit(docs, lang_col="lang", text_col="text", id_col="doc_id"):
     """Model learned from the labelled rows of ``docs``; pass only the documents that may be learned from."""
     train = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     train = train.where("text IS NOT NULL AND lang IS NOT NULL")
-    top = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r.lang for r in top)
+    sized = F.octet_length("text") <= TRAIN_BYTES
+    found = train.groupBy("lang").agg(F.count(F.when(sized, 1)).alias("n")).collect()  # a row per language
+    languages = sorted(r.lang for r in found)
     if not languages:
         return None
-    counts = lexicon_counts(train.where(F.col("lang").isin(languages)), languages)
+    counts = lexicon_counts(train, languages)
     columns = [F.col(f"c{i}") for i in range(len(languages))]
     total = sum(columns[1:], columns[0])
     counts = materialize(counts.withColumn("n", total).where("n > 1"), "words")
@@ -313,12 +409,13 @@ def fit(docs, lang_col="lang", text_col="text", id_col="doc_id"):
     hashes = lexicon.word.to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     share = max(MAX_TRAIN // len(languages), 8)
-    sized = train.where(F.octet_length("text") <= TRAIN_BYTES)
-    sample = [hashed_sample(sized.where(F.col("lang") == name).select("doc_id"), share) for name in languages]  # MAX_LANGUAGES at most
-    ids = reduce(DataFrame.union, sample).distinct()
-    rows = train.join(F.broadcast(ids), "doc_id").where(F.octet_length("text") <= TRAIN_BYTES).select("lang", "text").collect()
+    below = [(r.lang, (1 << 30) if r.n <= share else int((1 << 30) * share * 0.95 / r.n)) for r in found]
+    below = train.sparkSession.createDataFrame(below, "lang string, below long")
+    chosen = train.where(sized).join(F.broadcast(below), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("below"))
+    # Repeated ids would all be chosen together: one row of each.
+    rows = chosen.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).limit(2 * share * len(languages)).collect()
     number = {x: i for i, x in enumerate(languages)}
-    rows = [r for r in rows if r.lang in number]
+    rows.sort(key=lambda r: (r.lang, str(r.doc_id)))
     return _train(languages, hashes[order], odds[order].astype(np.float32), [r.text for r in rows], [number[r.lang] for r in rows])
 
 
@@ -332,23 +429,16 @@ def predict(docs, model, text_col="text"):
 
         def run(texts):
             data, offsets = byte_view(texts)
-            best, share = np.full(len(texts), len(model.languages)), np.zeros(len(texts))
-            for a, b in slices(offsets):
-                own, part = offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]
-                starts, ends, text = word_bounds(part, own)
-                if not len(starts):
-                    continue
-                chance = marginals(model.emissions(words, part, starts, ends), np.bincount(text, minlength=b - a), model.transitions)
+            total, lettered = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts), bool)
+            for a, part, own, _, _, text, chance in fields(model, words, data, offsets):
                 filled, begin = np.unique(text, return_index=True)
-                mean = _normal(np.add.reduceat(chance, begin, axis=0))
-                ascii_letter = np.add.reduceat(~_GAP[part] & (part < 128), own[filled]) if len(part) else []
-                for k in np.flatnonzero(np.asarray(ascii_letter) == 0).tolist():
-                    body = part[own[filled[k]] : own[filled[k] + 1]].tobytes().decode()
-                    if not any(c.isalpha() for c in body):
-                        filled[k] = -1
-                good = filled >= 0
-                best[a + filled[good]] = mean[good].argmax(axis=1)
-                share[a + filled[good]] = mean[good].max(axis=1)
+                total[a + filled] += np.add.reduceat(chance, begin, axis=0)
+                ascii_letter = np.add.reduceat(~_GAP[part] & (part < 128), own[filled]) > 0
+                lettered[a + filled[ascii_letter]] = True
+                for k in filled[~ascii_letter & ~lettered[a + filled]].tolist():
+                    lettered[a + k] = any(c.isalpha() for c in part[own[k] : own[k + 1]].tobytes().decode())
+            mean = _normal(total)
+            best, share = np.where(lettered, mean.argmax(axis=1), len(model.languages)), np.where(lettered, mean.max(axis=1), 0)
             return pa.StructArray.from_arrays([pa.array([names[k] for k in best], pa.string()), pa.array(np.clip(share, 0, 1))], ["lang_pred", "score"])
 
         return run
@@ -369,13 +459,9 @@ def judge(docs, model, text_col="text", lang_col="lang"):
 
         def run(texts):
             data, offsets = byte_view(texts)
-            n, known, shares = np.zeros(len(texts), np.int64), np.ones(len(texts)), np.zeros((len(texts), len(model.languages)))
-            for a, b in slices(offsets):
-                own, part = offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]
-                starts, ends, text = word_bounds(part, own)
-                if not len(starts):
-                    continue
-                chance = marginals(model.emissions(words, part, starts, ends), np.bincount(text, minlength=b - a), model.transitions)
+            n, shares = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(model.languages)))
+            known, features_of = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+            for a, part, own, starts, ends, text, chance in fields(model, words, data, offsets):
                 # Runs of letters inside numbers, keys and digests are no words.
                 digit = np.concatenate([(part >= 48) & (part < 58), [False]])
                 before = digit[starts - 1] & (starts > own[text])
@@ -384,12 +470,13 @@ def judge(docs, model, text_col="text", lang_col="lang"):
                 if not len(good):
                     continue
                 filled, begin = np.unique(text[good], return_index=True)
-                n[a + filled] = np.diff(np.append(begin, len(good)))
-                shares[a + filled] = _normal(np.add.reduceat(chance[good], begin, axis=0))
+                n[a + filled] += np.diff(np.append(begin, len(good)))
+                shares[a + filled] += np.add.reduceat(chance[good], begin, axis=0)
                 if model.familiar is not None:
-                    word, feature = features(part, starts[good], ends[good])
-                    has = np.bincount(text[good][word], model.familiar[feature], b - a)
-                    known[a + filled] = (has / np.maximum(np.bincount(text[good][word], minlength=b - a), 1))[filled]
+                    has, all_of = model.familiarity(part, starts[good], ends[good])
+                    known[a + filled] += np.add.reduceat(has, begin)
+                    features_of[a + filled] += np.add.reduceat(all_of, begin)
+            shares, known = _normal(shares), np.where(features_of, known / np.maximum(features_of, 1), 1.0)
             ends_at = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(model.languages))
             share = pa.ListArray.from_arrays(ends_at, pa.array(shares.ravel()))
             return pa.StructArray.from_arrays([pa.array(n), share, pa.array(known)], ["words", "shares", "known"])

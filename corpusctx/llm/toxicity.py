@@ -1,12 +1,15 @@
 """Toxicity: a linear classifier of character n-grams, scaled by naive Bayes log-count ratios.
 
-The ratios come from counts over all labelled training documents; the features with the most
-evidence are kept. Logistic regression on presence times ratio is fitted on a sample of
-labelled rows of bounded size. Scores read whole texts.
+The ratios come from counts over a sample of labelled training documents of bounded size
+(``MAX_LABELLED``, all of them below that); the features with the most evidence are kept.
+Logistic regression on presence times ratio is fitted on a smaller one (``MAX_TRAIN``). Both are
+chosen by a hash of the id from the labels alone, and only ids are sent to the tasks: no text
+is shuffled. Scores read whole texts.
 
 A null or empty text has no features, so its score is that of the bias. Without labelled rows,
 or with one class only, the score is the share of label 1 (0 without rows). Labels may repeat a
-doc_id: then 1 wins. Columns beside text and id are never read.
+doc_id: then 1 wins. Repeated documents count as often as they stand. Columns beside text and id
+are never read; columns named ``score`` and ``predicted`` are replaced.
 """
 
 import numpy as np
@@ -15,13 +18,16 @@ from pyspark.sql import functions as F
 
 from corpusctx.llm.arrow import byte_view, column_udf
 from corpusctx.llm.bounded import hashed_sample
+from corpusctx.sources.scratch import materialize
 
 ORDERS = (3, 4, 5)
 BITS = 18
 FEATURES = 1 << 13
 #: Features whose log-likelihood ratio stays below this are noise at the size of the table.
 LEAST_EVIDENCE = 10.0
-#: Most labelled documents that the regression is fitted on, chosen by a hash of their id.
+#: Most labelled ids whose documents are counted for the ratios, chosen by a hash of the id.
+MAX_LABELLED = 1 << 15
+#: Most labelled ids whose documents the regression is fitted on, a part of the former.
 MAX_TRAIN = 8192
 THRESHOLD = 0.3
 _ROUNDS, _RATE, _PENALTY, _SMOOTHING = 120, 0.5, 1e-4, 1.0
@@ -132,13 +138,14 @@ def _regress(rows, labels, scale, prior):
     return weights * scale, bias
 
 
-def fit(docs, labels, label_col="toxic", text_col="text", id_col="doc_id", max_train=MAX_TRAIN):
+def fit(docs, labels, label_col="toxic", text_col="text", id_col="doc_id", max_train=MAX_TRAIN, max_labelled=MAX_LABELLED):
     """Model of the labelled rows of ``docs``; pass only the documents that may be learned from."""
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     marks = marks.where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    # The driver holds one row per feature at most, and the bounded sample.
-    counts = gram_counts(texts.join(marks, "doc_id")).toPandas()
+    marks = materialize(hashed_sample(marks, max_labelled), "labelled")
+    # The driver holds one row per feature at most, and the bounded samples.
+    counts = gram_counts(texts.join(F.broadcast(marks), "doc_id")).toPandas()  # max_labelled rows
     total = counts[counts.feature == -1]
     n_pos, n_neg = int(total.positive.sum()), int(total.negative.sum())
     if not n_pos or not n_neg:
@@ -159,8 +166,7 @@ def fit(docs, labels, label_col="toxic", text_col="text", id_col="doc_id", max_t
         wanted[features] = True
         return lambda array: pa.array([number[_present(t, wanted)].tobytes() for t in _texts(array)], pa.binary())
 
-    ids = hashed_sample(texts.select("doc_id").join(marks, "doc_id"), max_train)
-    sample = texts.join(F.broadcast(ids), "doc_id")  # max_train rows
+    sample = texts.join(F.broadcast(hashed_sample(marks, max_train)), "doc_id")  # max_train rows
     sample = sample.select("label", column_udf(prepare, "binary")(F.col("text")).alias("present")).toPandas()
     rows = [np.frombuffer(b, np.int32).astype(np.int64) for b in sample.present]
     weights, bias = _regress(rows, sample.label.to_numpy(float), ratio, n_pos / (n_pos + n_neg))

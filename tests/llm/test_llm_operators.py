@@ -458,3 +458,47 @@ def test_ann_repeated_queries_keep_all_their_neighbours(spark):
     once = ann.nearest(df, df.where("vec_id = 0"))
     three = ann.nearest(df, df.where("vec_id = 0").union(df.where("vec_id = 0")).union(df.where("vec_id = 0")))
     assert sorted(three.collect()) == sorted(once.collect()) and three.select("vec_id").distinct().count() == 20
+
+
+def test_langid_long_texts_pass_messages_on(monkeypatch):
+    """A text cut into segments has the probabilities of the whole one."""
+    rng = np.random.default_rng(3)
+    texts = ["the cat und der Hund 12 x9 " * 40, "", "one", "là où " * 100, "x" * 700]
+    data, offsets = langid.byte_view(pa.array(texts))
+    weights = rng.standard_normal((1 << langid.BITS, 3)).astype(np.float32)
+    model = langid.Model(["a", "b", "c"], np.zeros(0, np.uint64), None, weights, 1.0, np.zeros(3, np.float32), rng.standard_normal((3, 3)))
+
+    def run():
+        out = {}
+        for a, _, _, _, _, text, chance in langid.fields(model, langid.Words(), data, offsets):
+            for k, row in zip((a + text).tolist(), chance):
+                out.setdefault(k, []).append(row)
+        return {k: np.array(v) for k, v in out.items()}
+
+    whole = run()
+    real = langid.slices
+    monkeypatch.setattr(langid, "slices", lambda o, limit, rows: real(o, 200, rows))
+    monkeypatch.setattr(langid, "max", lambda *a: 200 if a[-1] == 1 << 11 else max(*a), raising=False)
+    cut = run()
+    assert whole.keys() == cut.keys() and all(np.allclose(whole[k], cut[k]) for k in whole)
+
+
+def test_langid_learns_every_language(spark, monkeypatch):
+    monkeypatch.setattr(langid, "_SEQUENCES", 100)
+    monkeypatch.setattr(langid, "_ROUNDS", 2)
+    rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26)}oo " * 12, f"l{i:03d}") for i in range(300)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 300
+
+
+def test_toxicity_sample_is_bounded_and_moves_no_text(spark, monkeypatch):
+    rows = [(i, ("vile " if i % 2 else "calm ") * 5 + str(i)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))
+    seen = []
+    real = toxicity.gram_counts
+    monkeypatch.setattr(toxicity, "gram_counts", lambda rows: seen.append(rows) or real(rows))
+    model = toxicity.fit(docs, labels, max_train=60, max_labelled=200)
+    assert 100 < seen[0].count() <= 200 and "Exchange hashpartitioning" not in seen[0]._jdf.queryExecution().toString()
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()}
+    assert sum(got[i] == i % 2 for i in got) >= 380
