@@ -400,7 +400,7 @@ def fit(docs, lang_col="lang", text_col="text", id_col="doc_id"):
         return None
     counts = lexicon_counts(train, languages)
     columns = [F.col(f"c{i}") for i in range(len(languages))]
-    total = sum(columns[1:], columns[0])
+    total = F.aggregate(F.array(*columns), F.lit(0).cast("long"), lambda a, n: a + n)
     counts = materialize(counts.withColumn("n", total).where("n > 1"), "words")
     lexicon = most_frequent(counts, LEXICON_WORDS).toPandas()  # at most LEXICON_WORDS rows
     n = lexicon[[f"c{i}" for i in range(len(languages))]].to_numpy(float)
