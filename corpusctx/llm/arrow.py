@@ -10,10 +10,12 @@ SLICE_BYTES = 1 << 20
 
 
 def byte_view(array):
-    """(bytes as uint8, offsets as int64) of a string array; null counts as empty."""
-    array = (array.combine_chunks() if isinstance(array, pa.ChunkedArray) else array).cast(pa.large_string())
+    """(bytes as uint8, offsets as int64) of a string or binary array; null counts as empty."""
+    array = array.combine_chunks() if isinstance(array, pa.ChunkedArray) else array
+    binary = pa.types.is_binary(array.type) or pa.types.is_large_binary(array.type)
+    array = array.cast(pa.large_binary() if binary else pa.large_string())
     if array.null_count:
-        array = array.fill_null("")
+        array = array.fill_null(b"" if binary else "")
     _, offsets, data = array.buffers()
     if not len(array):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
