@@ -1,14 +1,14 @@
 """Phrase collocations by Rabin-Karp fingerprints.
 
 Words become 64-bit hashes; prefix sums of a polynomial over them give the fingerprint of every
-n-gram of a text at once. Tasks add equal fingerprints up before the shuffle, and the shuffle aggregates them
-with a pointer to an occurrence: a hash of the text and the byte where it stands. Orders go one
-after the other: an n-gram is only counted where both (n-1)-grams in it may be frequent, which a bit table of
-the frequent fingerprints says (no frequent n-gram is lost, since its parts occur as often). Texts
-are read again for frequent phrases only, at their pointers, and their words must have that fingerprint.
+n-gram of a text at once. Tasks add equal fingerprints up before the shuffle. Orders go one after
+the other: an n-gram is only counted where both (n-1)-grams in it may be frequent, which a bit table of
+the frequent fingerprints says (no frequent n-gram is lost, since its parts occur as often).
 
-Every occurrence also carries a second, independent fingerprint. Where occurrences of one
-fingerprint disagree in it, different phrases collide, and these are counted again by their words.
+The frequent fingerprints are then aggregated with pointers to an occurrence (a hash of the text and the byte
+where it stands) and with a second, independent fingerprint of all their occurrences. Where these
+disagree, different phrases collide, and they are counted again by their words. Texts are read
+again for frequent phrases only, at their pointers, and their words must have that fingerprint.
 
 Languages are counted apart; a null ``lang`` is ``und``, and counts with texts whose ``lang`` is that word. Null, empty and
 wordless texts have no phrases. Repeated rows count as often as they stand. Only text and
@@ -28,8 +28,8 @@ LONGEST = 5
 MIN_COUNT = 100
 TOP = 2000
 SEGMENT = 1 << 19
-#: Entries a task holds before it adds equal fingerprints up, and before it sends them.
-_PENDING, _HELD = 1 << 19, 3 << 18
+#: Entries a task takes in before it adds equal fingerprints up; it sends what it holds at one and a half times as many.
+_PENDING = 1 << 20
 #: Bits of a table of fingerprints: 32 for each, between these bounds. A full table only prunes less.
 _LEAST_BITS, _MOST_BITS = 1 << 16, 1 << 26
 _SEPARATES = np.zeros(256, bool)
@@ -105,9 +105,13 @@ def _all_grams(batch, tables, width, longest):
 
 
 class _Totals:
-    """Entries (fingerprint, low, high, n, key, at), equal fingerprints added up now and then."""
+    """Entries of equal fingerprints, added up now and then.
 
-    def __init__(self):
+    Columns: fingerprint, n, and, if pointed, lowest and highest second fingerprint, key and byte of an occurrence.
+    """
+
+    def __init__(self, names, size):
+        self.names, self.size = names, size
         self.held, self.pending = [], 0
 
     def add(self, *columns):
@@ -115,23 +119,25 @@ class _Totals:
         self.pending += len(columns[0])
 
     def merged(self):
-        prints, low, high, n, key, at = (np.concatenate(c) for c in zip(*self.held))
+        prints, n, *more = (np.concatenate(c) for c in zip(*self.held))
         order = np.argsort(prints, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], prints[order][1:] != prints[order][:-1]]))
-        lead = order[first]
-        out = (prints[lead], np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first), np.add.reduceat(n[order], first), key[lead], at[lead])
+        sorted_ = prints[order]
+        first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+        out = [sorted_[first], np.add.reduceat(n[order], first)]
+        if more:
+            low, high, key, at = more
+            out += [np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first), key[order[first]], at[order[first]]]
         self.held, self.pending = [out], 0
         return out
 
     def batches(self, done=False):
-        if not self.held or not done and self.pending < _PENDING:
+        if not self.held or not done and self.pending < self.size:
             return
         out = self.merged()
-        if done or len(out[0]) >= _HELD:
+        if done or 2 * len(out[0]) >= 3 * self.size:
             self.held = []
             for k in range(0, len(out[0]), 1 << 16):
-                columns = [pa.array(c[k : k + (1 << 16)].view(np.int64)) for c in out]
-                yield pa.RecordBatch.from_arrays(columns, ["fp", "low", "high", "n", "key", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 16)]) for c in out], self.names)
 
 
 def _table_of(df, column="fp"):
@@ -157,35 +163,64 @@ def _in_table(bits, prints):
 
 
 def _counted(texts, order, before, width, longest):
-    """Counts of all n-grams of one order that may be frequent, with a pointer each; order 0 is the texts' words."""
+    """(fp, n) of all n-grams of one order that may be frequent."""
+
+    def run(batches):
+        tables, totals, bits = Words(), _Totals(["fp", "n"], _PENDING), None if before is None else _bits(before)
+        for batch in batches:
+            for grams, _, _, new in _all_grams(batch, tables, width, longest):
+                at = grams.whole(order)
+                at = at[at + order - 1 >= new]
+                if bits is not None and len(at):
+                    at = at[_in_table(bits, grams.prints(at, order - 1)) & _in_table(bits, grams.prints(at + 1, order - 1))]
+                if len(at):
+                    totals.add(grams.prints(at, order), np.ones(len(at), np.int64))
+                yield from totals.batches()
+        yield from totals.batches(done=True)
+
+    return texts.mapInArrow(run, "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n"))
+
+
+def _pointed(texts, frequent, width, longest):
+    """(words, fp, n, low, high, key, at) of the n-grams in the bit tables; order 0 counts the words of each language.
+
+    All occurrences of a fingerprint hold the same phrase or are told apart by ``low`` and ``high``, so any pointer does.
+    """
 
     def run(batches):
-        tables, totals, bits = Words(), _Totals(), None if before is None else _bits(before)
+        tables, bits = Words(), [_bits(f) for f in frequent]
+        names = ["fp", "n", "low", "high", "key", "at"]
+        totals = [_Totals(names, _PENDING // 4) for _ in range(longest + 1)]
+
+        def out(done=False):
+            for order, own in enumerate(totals):
+                for b in own.batches(done):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, order, np.int32)), *b.columns], ["words", *names])
+
         for batch in batches:
             keys = batch.column(0).to_numpy()
             for grams, first, begin, new in _all_grams(batch, tables, width, longest):
-                if order == 0:
-                    own = np.flatnonzero(np.arange(len(grams.starts)) >= new)
-                    n = np.bincount(grams.text[own]) if len(own) else np.zeros(0, np.int64)
-                    text = np.flatnonzero(n)
-                    at = np.searchsorted(grams.text, text)
-                    if len(text):
-                        low = grams.prints(at, 0, 1)
-                        totals.add(grams.prints(at, 0), low, low, n[text], keys[first + text], np.zeros(len(text), np.int64))
-                else:
-                    at = grams.whole(order)
-                    at = at[at + order - 1 >= new]
-                    if bits is not None and len(at):
-                        at = at[_in_table(bits, grams.prints(at, order - 1)) & _in_table(bits, grams.prints(at + 1, order - 1))]
+                for order in range(longest + 1):
+                    if order:
+                        at = grams.whole(order)
+                        at = at[at + order - 1 >= new]
+                        prints = grams.prints(at, order)
+                        hit = _in_table(bits[order - 1], prints)
+                        at, prints = at[hit], prints[hit]
+                        n, place = np.ones(len(at), np.int64), begin + grams.starts[at] - grams.offsets[grams.text[at]]
+                    else:
+                        count = np.bincount(grams.text[new:])
+                        text = np.flatnonzero(count)
+                        at, n, place = np.searchsorted(grams.text, text), count[text], np.zeros(len(text), np.int64)
+                        prints = grams.prints(at, 0)
                     if len(at):
-                        low = grams.prints(at, order, 1)
-                        totals.add(grams.prints(at, order), low, low, np.ones(len(at), np.int64), keys[first + grams.text[at]], begin + grams.starts[at] - grams.offsets[grams.text[at]])
-                yield from totals.batches()
-        yield from totals.batches(done=True)
+                        check = grams.prints(at, order, 1)
+                        totals[order].add(prints, n, check, check, keys[first + grams.text[at]], place)
+                yield from out()
+        yield from out(done=True)
 
-    found = texts.mapInArrow(run, "fp long, low long, high long, n long, key long, at long")
-    # All occurrences of a fingerprint hold the same phrase or are told apart below, so any pointer does.
-    return found.groupBy("fp").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.first("key").alias("key"), F.first("at").alias("at"))
+    found = texts.mapInArrow(run, "words int, fp long, n long, low long, high long, key long, at long")
+    return found.groupBy("words", "fp").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.first("key").alias("key"), F.first("at").alias("at"))
 
 
 def _words_at(body, at, n):
@@ -282,18 +317,18 @@ def phrase_counts(docs, min_count=MIN_COUNT, longest=LONGEST, text_col="text", l
     lang, text = F.coalesce(F.col(lang_col), F.lit(UNKNOWN)), F.coalesce(F.col(text_col), F.lit(""))
     named = docs.select(F.xxhash64(lang, text).alias("key"), F.xxhash64(lang).alias("salt"), text.alias("text"), lang.alias("lang"))
     slim = named.select("key", "salt", "text")
-    levels = [materialize(_counted(slim, 0, None, width, longest), "words")]
-    before = None
+    counts, frequent = None, []
     for order in range(1, longest + 1):
-        level = materialize(_counted(slim, order, before, width, longest).where(F.col("n") >= min_count), f"grams{order}")
-        levels.append(level)
-        before = _table_of(level)
-    every = levels[0].withColumn("words", F.lit(0))
-    for order, level in enumerate(levels[1:], 1):
-        every = every.union(level.withColumn("words", F.lit(order)))
+        level = materialize(_counted(slim, order, frequent[-1] if frequent else None, width, longest).where(F.col("n") >= min_count), f"grams{order}")
+        frequent.append(_table_of(level))
+        level = level.withColumn("words", F.lit(order))
+        counts = level if counts is None else counts.union(level)
+    pointed = materialize(_pointed(slim, frequent, width, longest), "pointed")
+    every = pointed.where("words > 0").drop("n").join(counts, ["words", "fp"])
     # Most corpora have none: then nothing is read again.
-    collided = materialize(every.where("low != high AND words > 0").select("fp", "words"), "collided")
-    sound = every.where("low = high OR words = 0").select("fp", "words", "n", "key", "at")
+    collided = materialize(every.where("low != high").select("fp", "words"), "collided")
+    columns = ["fp", "words", "n", "key", "at"]
+    sound = materialize(every.where("low = high").select(columns).union(pointed.where("words = 0").select(columns)), "sound")
     phrases = _materialised(named, sound, width)
     found = sound.join(phrases.withColumn("words", F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))), ["fp", "words"])
     found = found.select("lang", "words", "phrase", "n")

@@ -86,6 +86,5 @@ def test_given_documents(spark):
 def test_fingerprints_add_up_before_the_shuffle(spark, monkeypatch):
     """Entries of one task are merged whatever the size of its buffers."""
     monkeypatch.setattr(collocations, "_PENDING", 8)
-    monkeypatch.setattr(collocations, "_HELD", 4)
     df = spark.createDataFrame(ROWS * 3, SCHEMA).coalesce(2)
     assert mined(df, min_count=3) == brute_force([r[1:] for r in ROWS * 3], 3)
