@@ -16,6 +16,8 @@ HEADLINE = [
     "folder_tokens",
     "prompts",
     "files_classified",
+    "files_classified_by_project",
+    "task_selection",
     "files_under_roots",
     "prompt_parts",
     "prompt_totals",

@@ -108,6 +108,15 @@ def compile_glob(pattern: str) -> Glob:
     return Glob("regex", r"(?s)\A" + _regex(tokens, ".*", ".", False) + r"\z")
 
 
+def literal_ends(pattern):
+    """Literal text that whatever matches a whole-path glob begins with, and ends with."""
+    tokens = list(_tokens(pattern))
+    wild = [i for i, t in enumerate(tokens) if not isinstance(t, str)]
+    if not wild:
+        return "".join(tokens), "".join(tokens)
+    return "".join(tokens[: wild[0]]), "".join(tokens[wild[-1] + 1 :])
+
+
 # How each kind is tested; the operand may be a literal or a column of a rules table.
 GLOB_TESTS = {
     "literal": lambda value, text: value == text,
@@ -163,3 +172,10 @@ def compile_segments(pattern: str) -> SegmentGlob:
     if folders_only:
         return SegmentGlob(pattern, None, None, rf"(?s)\A{stem}\z", rf"(?s)\A{stem}/.+\z")
     return SegmentGlob(pattern, None, rf"(?s)\A{stem}\z", rf"(?s)\A{stem}\z", rf"(?s)\A{stem}(?:/.*)?\z")
+
+
+def segment_head(pattern):
+    """Literal text that every file of an include pattern begins with."""
+    whole = "/".join(s for s in pattern.split("/") if s not in ("", "."))
+    wild = [i for i in (whole.find(c) for c in "*?[") if i >= 0]
+    return whole[: min(wild)].rstrip("/") if wild else whole

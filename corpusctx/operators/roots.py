@@ -2,13 +2,12 @@
 
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import functions as F
 
 from corpusctx.functions import paths
 from corpusctx.functions.globs import compile_segments
 from corpusctx.functions.urls import REMOTE_PREFIXES, is_remote
-from corpusctx.sources.scratch import materialize
+from corpusctx.operators.matching import IncludeList, match_by_table
 
 # Fixed value: the include that stands for the project root.
 WHOLE_ROOT = "./"
@@ -49,33 +48,23 @@ def expand_includes(files, includes):
     return files.withColumn("first_pattern", F.coalesce(*hits)).filter(F.col("first_pattern").isNotNull())
 
 
-_MEMBERS = T.StringType()
-
-
-@F.pandas_udf(_MEMBERS)
-def _members(patterns: pd.Series) -> pd.Series:
-    return patterns.map(lambda p: compile_segments(p).members)
-
-
 def expand_by_table(files, includes, by=("task_id",), root_when_no_local=True):
     """``expand_includes`` with patterns from a table (by, ordinal, pattern), matched on the ``by`` columns.
 
-    Each group's patterns become one row; a file keeps one row and its first pattern.
-    Unusable patterns match nothing. A group without any local pattern takes every file.
+    A file keeps one row and its first pattern. Unusable patterns match nothing. A group without
+    any local pattern takes every file. Rules meet files as in ``classify_by_table``.
     """
     by = list(by)
-    local = includes.filter(~is_remote(F.col("pattern"))).withColumn("members", _members("pattern"))
-    entry = F.when(F.col("members").isNotNull(), F.struct("ordinal", "pattern", "members"))
-    books = local.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("_includes"))
-    found = F.aggregate(
-        "_includes",
-        F.lit(None).cast("string"),
-        lambda found, i: F.coalesce(found, F.when(F.rlike(F.col("path"), i["members"]), i["pattern"])),
-    )
-    whole = F.when(F.col("_includes").isNull() & F.lit(root_when_no_local), F.lit(WHOLE_ROOT))
-    joined = files.join(materialize(books, "includes"), by, "left" if root_when_no_local else "inner")
-    joined = joined.withColumn("first_pattern", F.coalesce(whole, found))
-    return joined.filter(F.col("first_pattern").isNotNull()).drop("_includes")
+    local = includes.filter(~is_remote(F.col("pattern"))).where("ordinal IS NOT NULL").select(*by, "ordinal", "pattern")
+
+    def compile_book(rules):
+        book = IncludeList(pattern for _, pattern in rules)
+        return lambda path: (book.first(path), "y")
+
+    joined = match_by_table(files, local, by, [F.col("path")], compile_book, ["_first", "_has"])
+    whole = F.when(F.col("_has").isNull() & F.lit(root_when_no_local), F.lit(WHOLE_ROOT))
+    joined = joined.withColumn("first_pattern", F.coalesce(whole, "_first")).drop("_first", "_has")
+    return joined.filter(F.col("first_pattern").isNotNull())
 
 
 def search_paths(files, includes, remote_paths=None, root_when_no_local=True):

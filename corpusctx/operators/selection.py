@@ -2,12 +2,11 @@
 
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import functions as F
 
 from corpusctx.functions import paths
-from corpusctx.functions.globs import GLOB_TESTS, compile_glob, glob_test
-from corpusctx.sources.scratch import materialize
+from corpusctx.functions.globs import compile_glob, glob_test
+from corpusctx.operators.matching import RuleList, match_by_table, match_list, needs_name
 
 # Patterns excluded unless told otherwise.
 DEFAULT_EXCLUDES = [
@@ -41,7 +40,7 @@ IGNORED, EXCLUDED, INCLUDED = "ignored", "excluded", "included"
 # Fixed value: the one folder pattern that matches at any depth by itself.
 ANY_LEVEL = ".git/"
 
-# Above this many rules the per-rule branches no longer fit compiled code; the rules become a table.
+# Above this many rules the per-rule branches no longer fit compiled code; the rules become lookups.
 INLINE_RULES = 200
 
 
@@ -66,18 +65,11 @@ def pattern_table(spark, patterns, rule_set):
     return spark.range(0, 1, 1, 1).select(F.lit(rule_set).alias("rule_set"), F.inline(entries))
 
 
-def _needs_name(pattern, glob):
-    """Whether the file name can match although the whole path does not."""
-    if pattern.startswith("*") and not set(pattern) & {"\\", "["}:
-        return False
-    return glob.kind == "regex" or "/" not in glob.text
-
-
 def ignore_match(path, name, pattern):
     """Ignore-file rule: plain glob on path or name."""
     glob = compile_glob(pattern)
     hit = glob_test(path, glob)
-    return hit | glob_test(name, glob) if _needs_name(pattern, glob) else hit
+    return hit | glob_test(name, glob) if needs_name(pattern, glob) else hit
 
 
 def exclude_match(path, name, rule):
@@ -113,96 +105,58 @@ def _verdict(df):
 def classify_files(files, ignore=(), excludes=()):
     """Add ``verdict`` and ``first_rule`` to files; rule lists apply to every file, in list order.
 
-    The rules are compiled into the projection: no join, no shuffle, no content read.
+    The rules are compiled into the projection, or above ``INLINE_RULES`` into lookups in the
+    tasks: no join, no shuffle, no content read either way, and the same result.
     """
     ignore, excludes = list(ignore), as_rules(excludes)
-    if len(ignore) + len(excludes) > INLINE_RULES:
-        rules = pattern_table(files.sparkSession, as_rules(ignore), "ignore").unionByName(
-            pattern_table(files.sparkSession, excludes, "exclude")
-        )
-        return classify_by_table(files.withColumn("_all", F.lit(0)), rules.withColumn("_all", F.lit(0)), ["_all"]).drop("_all")
     path, name = _slashes(F.col("path")), paths.name(F.col("path"))
+    if len(ignore) + len(excludes) > INLINE_RULES:
+        rules = [("ignore", i, p, False) for i, p in enumerate(ignore)]
+        rules += [("exclude", i, r.pattern, r.any_level) for i, r in enumerate(excludes)]
+        found = files.withColumn("_found", match_list([path, name], _book_of("rule_set", "ordinal", "pattern", "any_level"), rules, _RULES))
+        return _verdict(found.withColumns({c: F.col(f"_found.{c}") for c in _RULES}).drop("_found"))
     marked = files.withColumn("_ignored", _first((p, ignore_match(path, name, p)) for p in ignore)).withColumn(
         "_excluded", _first((r.pattern, exclude_match(path, name, r)) for r in excludes)
     )
     return _verdict(marked)
 
 
-_COMPILED = T.StructType().add("kind", "string").add("text", "string").add("by_name", "boolean")
+_RULES = ["_ignored", "_excluded"]
 
 
-@F.pandas_udf(_COMPILED)
-def _compiled(patterns: pd.Series) -> pd.DataFrame:
-    globs = [compile_glob(p) for p in patterns]
-    return pd.DataFrame(
-        {
-            "kind": [g.kind for g in globs],
-            "text": [g.text for g in globs],
-            "by_name": [_needs_name(p, g) for p, g in zip(patterns, globs)],
-        }
-    )
-
+def _book_of(*columns):
+    """Function from the rules of a book, with these columns, to what it says of a path and a name."""
+    at = {c: i for i, c in enumerate(columns)}
 
-def _table_test(path, name, rule):
-    """The match of one row of compiled rules, cheapest tests first."""
-    glob = rule["glob"]
-    kinds = list(GLOB_TESTS.items())
+    def compile_book(rules):
+        lists = []
+        for rule_set in ("ignore", "exclude"):
+            own = []
+            for rule in rules:
+                if rule[at["rule_set"]] == rule_set:
+                    pattern = rule[at["pattern"]]
+                    any_level = bool(rule[at["any_level"]]) or pattern == ANY_LEVEL
+                    own.append((pattern, rule_set == "exclude" and pattern.endswith("/"), any_level))
+            lists.append(RuleList(own))
+        ignore, exclude = lists
+        return lambda path, name: (ignore.first(path, name), exclude.first(path, name))
 
-    def dispatch(value):
-        hit = F.when(glob["kind"] == kinds[0][0], kinds[0][1](value, glob["text"]))
-        for kind, test in kinds[1:]:
-            hit = hit.when(glob["kind"] == kind, test(value, glob["text"]))
-        return hit
-
-    folder = (
-        F.startswith(path, rule["pattern"])
-        | (F.concat(path, F.lit("/")) == rule["pattern"])
-        | (rule["any_level"] & F.contains(path, F.concat(F.lit("/"), rule["pattern"])))
-    )
-    return F.when(rule["is_folder"], folder).otherwise(dispatch(path) | (glob["by_name"] & dispatch(name)))
+    return compile_book
 
 
 def classify_by_table(files, rules, by=("project",)):
     """``classify_files`` with rules from a table, matched to files on the ``by`` columns.
 
     Rules: ``by``, rule_set (``ignore``/``exclude``), ordinal, pattern and optionally
-    any_level. Each group's rules become one row, so the join keeps one output row per
-    file and needs no regroup. That side is written first: the planner then knows its true
-    size and moves the files only when it is too large to broadcast.
+    any_level; rules without a pattern match nothing. A table of a counted, bounded size goes to every task; a larger one meets
+    the files by key, dealt into parts, so no key's files are one task and no book is one cell.
     """
-    by = list(by)
     if "any_level" not in rules.columns:
         rules = rules.withColumn("any_level", F.lit(False))
-    folder = (F.col("rule_set") == "exclude") & F.endswith("pattern", F.lit("/"))
-    rule = F.struct(
-        "ordinal",
-        "pattern",
-        folder.alias("is_folder"),
-        (F.col("any_level") | (F.col("pattern") == ANY_LEVEL)).alias("any_level"),
-        _compiled("pattern").alias("glob"),
-    )
-    books = rules.select(*by, "rule_set", rule.alias("rule")).groupBy(*by).agg(
-        *[
-            F.array_sort(F.collect_list(F.when(F.col("rule_set") == s, F.col("rule")))).alias(f"_{s}_rules")
-            for s in ("ignore", "exclude")
-        ]
-    )
+    columns = ["ordinal", "pattern", "rule_set", "any_level"]
+    rules = rules.where("pattern IS NOT NULL AND ordinal IS NOT NULL").select(*by, *columns)
     path, name = _slashes(F.col("path")), paths.name(F.col("path"))
-
-    def first(column):
-        return F.aggregate(
-            column,
-            F.lit(None).cast("string"),
-            lambda found, r: F.coalesce(found, F.when(_table_test(path, name, r), r["pattern"])),
-        )
-
-    marked = (
-        files.join(materialize(books, "rules"), by, "left")
-        .withColumn("_ignored", first(F.col("_ignore_rules")))
-        .withColumn("_excluded", first(F.col("_exclude_rules")))
-        .drop("_ignore_rules", "_exclude_rules")
-    )
-    return _verdict(marked)
+    return _verdict(match_by_table(files, rules, by, [path, name], _book_of(*columns), _RULES))
 
 
 def included(classified):
