@@ -32,30 +32,25 @@ def folder_mapping(folders):
     """New name and number of every folder of every project (project, name, mtime).
 
     Unnumbered folders continue after the largest number, oldest first, keeping their
-    name; then all prefixes get the width the largest number asks for. The largest number
-    and the count of unnumbered folders come from one partial aggregate per project.
+    name; then all prefixes get the width the largest number asks for. All folders are placed
+    once, numbered ones first; the largest number and the counts of a project ride on the
+    sums that number its rows, so no project, whatever its share, meets in one join task.
+    A null project is a group like any other.
     """
-    named = folders.withColumn("number", folder_number(F.col("name")))
-    stats = named.groupBy("project").agg(
-        F.coalesce(F.max("number"), F.lit(0)).alias("_max"), F.count_if(F.col("number").isNull()).alias("_loose")
-    )
-    width = number_width(F.col("_max") + F.col("_loose"))
-    numbered = named.filter(F.col("number").isNotNull()).select(
-        "project", F.col("name").alias("old_name"), "number", F.regexp_extract("name", NUMBERED, 2).alias("_base")
-    )
-    loose = number_rows(named.filter(F.col("number").isNull()).select("project", "name", "mtime"), ["project"], ["mtime", "name"])
-    loose = loose.join(stats, "project").select(
-        "project", F.col("name").alias("old_name"), (F.col("_max") + F.col("seq")).alias("number"), F.col("name").alias("_base")
-    )
-    return (
-        numbered.unionByName(loose)
-        .join(stats, "project")
-        .select(
-            "project",
-            "old_name",
-            "number",
-            F.concat(pad_number(F.col("number"), width), F.lit("-"), F.col("_base")).alias("new_name"),
-        )
+    named = folders.select("project", "name", "mtime").withColumn("number", folder_number(F.col("name")))
+    loose = F.col("number").isNull()
+    totals = {
+        "_max": (F.max("number"), F.max),
+        "_numbered": (F.count("number"), F.sum),
+        "_loose": (F.count_if(loose), F.sum),
+    }
+    placed = number_rows(named, ["project"], [loose, F.when(loose, F.col("mtime")), "name"], totals=totals)
+    largest = F.coalesce("_max", F.lit(0))
+    number = F.coalesce("number", largest + F.col("seq") - F.col("_numbered"))
+    base = F.when(loose, F.col("name")).otherwise(F.regexp_extract("name", NUMBERED, 2))
+    width = number_width(largest + F.col("_loose"))
+    return placed.select(
+        "project", F.col("name").alias("old_name"), number.alias("number"), F.concat(pad_number(number, width), F.lit("-"), base).alias("new_name")
     )
 
 
@@ -67,14 +62,18 @@ def next_numbers(folders):
 
 
 def allocate_numbers(existing, new, order, group="project"):
-    """Number new rows of each group after the largest prefix among existing folder names, in ``order``."""
-    taken = existing.groupBy(group).agg(F.max(folder_number(F.col("folder"))).alias("_max"))
-    largest = F.coalesce("_max", F.lit(0))
-    numbered = number_rows(new, [group], order)
-    number = largest + F.col("seq")
-    return numbered.join(taken, group, "left").select(
-        *new.columns, number.alias("number"), pad_number(number, number_width(number - 1)).alias("label")
-    )
+    """Number new rows of each group after the largest prefix among existing folder names, in ``order``.
+
+    The largest prefix of a group is one more row of it, placed in front of the new ones, so it
+    reaches them with the sums that number them and not by a join on the group.
+    """
+    taken = existing.groupBy(group).agg(F.max(folder_number(F.col("folder"))).alias("_taken"))
+    taken = taken.select(F.col(group).cast(new.schema[group].dataType).alias(group), "_taken", F.lit(False).alias("_new"))
+    both = new.withColumn("_new", F.lit(True)).unionByName(taken, allowMissingColumns=True)
+    totals = {"_max": (F.max("_taken"), F.max), "_ahead": (F.count_if(~F.col("_new")), F.sum)}
+    numbered = number_rows(both, [group], ["_new", *order], totals=totals).where("_new")
+    number = F.coalesce("_max", F.lit(0)) + F.col("seq") - F.col("_ahead")
+    return numbered.select(*new.columns, number.alias("number"), pad_number(number, number_width(number - 1)).alias("label"))
 
 
 def normalize_sources(sources):

@@ -22,7 +22,7 @@ def place_rows(df, group, order):
     ).drop("_at")
 
 
-def number_rows(df, group, order, out="seq"):
+def number_rows(df, group, order, out="seq", totals=None):
     """1-based position of each row in its group by ``order`` (names or columns, ties must not matter).
 
     The rows are range-partitioned by group and order and written once, each with its
@@ -31,17 +31,25 @@ def number_rows(df, group, order, out="seq"):
     passes through a window. The join key holds the partition too and stays even when
     one group owns most rows.
 
+    ``totals`` adds columns of what holds for the whole group: name to (aggregate of rows, function
+    that merges its parts). They ride on the same sums, so a group's total is never joined on the
+    group alone, where a hot group could not be split.
+
     Finding the ranges samples the input, which runs it twice: pass key columns only and
     join large payloads to the numbers afterwards.
     """
     placed = place_rows(df, group, order)
-    runs = placed.groupBy(*group, "_part").agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
+    totals = totals or {}
+    parts = [rows.alias(name) for name, (rows, _) in totals.items()]
+    runs = placed.groupBy(*group, "_part").agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"), *parts)
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1
     # Written, so the planner knows its true size and broadcasts it only when small.
-    runs = materialize(runs.select(*group, "_part", shift.alias("_shift")), "runs")
+    whole = Window.partitionBy(*group)
+    merged = [merge(name).over(whole).alias(name) for name, (_, merge) in totals.items()]
+    runs = materialize(runs.select(*group, "_part", shift.alias("_shift"), *merged), "runs")
     joined = join_on(placed, runs, [*group, "_part"])
-    return joined.select(*df.columns, (F.col("_pos") + F.col("_shift")).cast("bigint").alias(out))
+    return joined.select(*df.columns, *totals, (F.col("_pos") + F.col("_shift")).cast("bigint").alias(out))
 
 
 def path_order(files, group=("project",), out="seq"):
