@@ -11,6 +11,7 @@ no word crosses.
 """
 
 import json
+import re
 import unicodedata
 import uuid
 from collections import Counter
@@ -77,6 +78,13 @@ class Vocabulary:
         self.merged = np.array([ids[a + b] for a, b in pairs], np.int32)
         self.classes = char_classes()
 
+    @classmethod
+    def of(cls, state):
+        """A vocabulary again from its plain parts, ``vars``: tasks get these, so they need no copy of the package."""
+        out = cls.__new__(cls)
+        out.__dict__.update(state)
+        return out
+
     def ranks(self, left, right):
         """Rank of each pair of neighbouring ids, ``_NO_PAIR`` where there is no merge."""
         keys = left.astype(np.int64) << 32 | right
@@ -350,15 +358,13 @@ class Encoder:
         return [b"".join(ids[a:b]) for a, b in zip(starts, starts[1:])]
 
     def _with_special(self, text):
-        """Ids of one text that may hold special tokens."""
-        at, which = min(((i, s) for s in self.vocabulary.special if (i := text.find(s)) >= 0), default=(-1, None))
-        if at < 0:
-            part = np.frombuffer(text, np.uint8)
-            return b"".join(self.encode_bytes(part, np.array([0, len(part)]), plain=True))
-        own = np.uint32(self.vocabulary.special[which]).tobytes()
-        head = np.frombuffer(text[:at], np.uint8)
-        ids = b"".join(self.encode_bytes(head, np.array([0, len(head)]), plain=True)) + own
-        return ids + self._with_special(text[at + len(which) :])
+        """Ids of one text that may hold special tokens, any number of them."""
+        special = self.vocabulary.special
+        parts = re.split(b"(" + b"|".join(re.escape(t) for t in sorted(special, key=len, reverse=True)) + b")", text)
+        offsets = np.cumsum([0, *map(len, parts[::2])])
+        plain = self.encode_bytes(np.frombuffer(b"".join(parts[::2]), np.uint8), offsets, plain=True)
+        marks = [np.uint32(special[t]).tobytes() for t in parts[1::2]]
+        return b"".join(x for pair in zip(plain, [*marks, b""]) for x in pair)
 
     def encode_bytes(self, data, offsets, plain=False):
         """Ids of each text as packed little-endian unsigned 32-bit integers."""
@@ -390,10 +396,10 @@ class Encoder:
 
 def word_counts(docs, vocabulary, text_col="text"):
     """How often each word occurs in all texts: (word binary, n long)."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # as large as the vocabulary file
+    shared = docs.sparkSession.sparkContext.broadcast(vars(vocabulary))  # as large as the vocabulary file
 
     def count(batches):
-        classes, counts = shared.value.classes, Counter()
+        classes, counts = shared.value["classes"], Counter()
 
         def rows():
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
@@ -436,12 +442,12 @@ def build_lexicon(docs, vocabulary, text_col="text", max_words=LEXICON_WORDS):
 
 
 def _encoder(shared, lexicon_file):
-    return Encoder(shared.value, Lexicon(SparkFiles.get(lexicon_file)) if lexicon_file else None)
+    return Encoder(Vocabulary.of(shared.value), Lexicon(SparkFiles.get(lexicon_file)) if lexicon_file else None)
 
 
 def encode_texts(docs, vocabulary, lexicon_file=None, text_col="text", ids_col="ids"):
     """``docs`` with the packed ids of each text in ``ids_col``; other columns pass through."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(vocabulary))
 
     def prepare():
         encoder = _encoder(shared, lexicon_file)
@@ -452,10 +458,10 @@ def encode_texts(docs, vocabulary, lexicon_file=None, text_col="text", ids_col="
 
 def decode_ids(df, vocabulary, ids_col="ids", text_col="decoded"):
     """``df`` with the text of the packed ids; null ids give an empty text."""
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = df.sparkSession.sparkContext.broadcast(vars(vocabulary))
 
     def prepare():
-        encoder = Encoder(shared.value)
+        encoder = Encoder(Vocabulary.of(shared.value))
         return lambda ids: pa.array((encoder.decode(i.as_py() or b"") for i in ids), pa.string())
 
     return df.withColumn(text_col, column_udf(prepare, "string")(F.col(ids_col)))
@@ -469,11 +475,11 @@ def round_trip(docs, vocabulary, lexicon_file=None, text_col="text"):
 
     Encoding and decoding happen in one pass, so the ids themselves never leave the task.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(vocabulary))
 
     def prepare():
         encoder = _encoder(shared, lexicon_file)
-        shown = [b"%d" % i for i in range(len(shared.value.tokens))]
+        shown = [b"%d" % i for i in range(len(shared.value["tokens"]))]
 
         def digest(ids):
             numbers = np.frombuffer(ids, np.uint32).tolist()

@@ -19,20 +19,19 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import Window, functions as F
 
+from corpusctx.llm.encoders import ByteEncoder
 from corpusctx.operators.joins import join_on
 from corpusctx.sources.scratch import materialize
 
 WINDOW = 2048
 PIECE = 64
-#: Queues whose sizes the driver holds; sources beyond that many share queues by hash.
+#: Queues whose sizes the driver holds, beside those of sources with a target of their own. With more
+#: sources than that, those without a target share queues by hash; targets hold at every number of sources.
 MAX_QUEUES = 4096
 END_ID = 1
-# Fixed value: the split pattern of byte-level vocabularies.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SCALE_BITS = 12  # quanta are whole multiples of 1/4096 token
 
 
@@ -41,20 +40,19 @@ def tokenize(docs, vocabulary, queue, text_col="text", id_col="doc_id"):
 
     ``before``: tokens of the same queue in front of the document within its part.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # as large as the vocabulary file
+    # As large as the vocabulary file, and plain data: tasks need no copy of the package.
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary.tokens, vocabulary.special))
     kind = "<u2" if len(vocabulary.tokens) <= 1 << 16 else "<u4"
 
     def run(batches):
-        tokens, special = shared.value.tokens, shared.value.special
-        ranks = {t: i for i, t in enumerate(tokens) if t and t not in special}
-        encoding = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={t.decode(): i for t, i in special.items()})
+        encoder = ByteEncoder(*shared.value)
         part, seen = TaskContext.get().partitionId(), {}
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 ids, counts, before = [], [], []
                 rows = batch.slice(at, 512)
                 for text, q in zip(rows.column(2), rows.column(1).to_pylist()):
-                    own = np.append(encoding.encode_to_numpy(text.as_py() or "", allowed_special="all"), END_ID)
+                    own = np.append(encoder.encode(text.as_py() or ""), END_ID)
                     ids.append(own.astype(kind).tobytes())
                     counts.append(len(own))
                     before.append(seen.get(q, 0))
@@ -143,15 +141,16 @@ def pack(docs, vocabulary, source_col="source", text_col="text", id_col="doc_id"
     """
     queue = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
     few = docs.select(queue.alias("q")).distinct().limit(MAX_QUEUES + 1).count() <= MAX_QUEUES
+    wanted = {f"s{s}": w for s, w in (shares or {}).items()}
     if not few:
-        queue = F.concat(F.lit("h"), F.pmod(F.xxhash64(queue), F.lit(MAX_QUEUES)).cast("string"))
+        hashed = F.concat(F.lit("h"), F.pmod(F.xxhash64(queue), F.lit(MAX_QUEUES)).cast("string"))
+        queue = F.when(queue.isin(list(wanted)), queue).otherwise(hashed) if wanted else hashed
     table, kind = tokenize(docs, vocabulary, queue, text_col, id_col)
     sizes = materialize(table.groupBy("queue", "part").agg(F.sum("doc_tokens").alias("n")), "sizes")
     earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = materialize(sizes.select("queue", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")), "bases")
-    totals = {r.queue: r.n for r in sizes.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # MAX_QUEUES at most
+    totals = {r.queue: r.n for r in sizes.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # MAX_QUEUES and the named sources at most
     names = sorted(totals)
-    wanted = {f"s{s}": w for s, w in (shares or {}).items()}
     all_tokens = sum(totals.values()) or 1
     plan = Plan([totals[q] for q in names], [wanted.get(q, totals[q] / all_tokens) for q in names], window)
     number = {q: i for i, q in enumerate(names)}

@@ -502,3 +502,34 @@ def test_toxicity_sample_is_bounded_and_moves_no_text(spark, monkeypatch):
     assert 100 < seen[0].count() <= 200 and "Exchange hashpartitioning" not in seen[0]._jdf.queryExecution().toString()
     got = {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()}
     assert sum(got[i] == i % 2 for i in got) >= 380
+
+
+def test_encoders_take_runs_of_blanks_and_many_special_tokens(spark, vocabulary):
+    texts = [" " * 1_100_000 + "x", "<|endoftext|>" * 1500 + "a", "a" + "<|endoftext|>b" * 3000, "\n" * 50_000, "no　 " * 30 + "\t" * 5000 + "end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tokenizer = Tokenizer.from_file(PATH)
+    ids = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    got = {r.doc_id: r.round_trip for r in bpe.round_trip(docs, vocabulary).collect()}
+    assert all(got[k].n_tokens == len(i) and got[k].ids_sha256 == sha256(",".join(map(str, i)).encode()).hexdigest() for k, i in enumerate(ids))
+    pieces = packing.pack(docs.withColumn("source", F.lit("s")), vocabulary).collect()
+    for k, own in enumerate(ids):
+        found = b"".join(bytes(p.ids) for p in sorted((p for p in pieces if p.doc_id == k), key=lambda p: p.start))
+        assert np.frombuffer(found, np.uint32).tolist() == [*own, packing.END_ID]
+
+
+def test_targets_hold_with_any_number_of_sources(spark, vocabulary, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_QUEUES", 8)
+    rows = [(i, "word " * 40, "big" if i % 2 else f"s{i}") for i in range(400)]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), vocabulary, shares={"big": 0.25}).collect()
+    assert {p.queue for p in pieces if p.queue.startswith("s")} == {"sbig"} and len({p.queue for p in pieces}) <= 9
+    early = [p for p in pieces if p.sequence_id < 3]
+    share = sum(p.length for p in early if p.queue == "sbig") / sum(p.length for p in early)
+    assert abs(share - 0.25 / (0.25 + 0.5)) < 0.1
+
+
+def test_tasks_get_plain_data(vocabulary):
+    """What is broadcast names no class of the package, so executors need no copy of it."""
+    import pickle
+
+    state = pickle.dumps(vars(vocabulary))
+    assert b"corpusctx" not in state and bpe.Vocabulary.of(pickle.loads(state)).tokens == vocabulary.tokens
