@@ -49,13 +49,24 @@ def packed(spark, docs, sf_dir):
     return packing.pack(docs, bpe.Vocabulary(VOCABULARY))
 
 
+# Texts of thousands of bytes: a worker should hold a few megabytes of them at once, not Spark's defaults (in the first column).
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m"),
+}
 STAGES = [("toxicity", toxicity_filter), ("language", language_filter), ("near_dedup", near_dedup), ("pii", sanitised), ("packing", packed)]
 # Trained classifiers, sketches and token ids have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """Apply all stages to ``documents``; between stages the rows are written and read again."""
+    """Apply all stages to ``documents``; between stages the rows are written and read again.
+
+    Batches to Python workers are made smaller in a session that leaves them at Spark's defaults.
+    """
+    for key, (default, own) in BATCHES.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, own)
     docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{scratch_dir(spark)}/corpus-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
