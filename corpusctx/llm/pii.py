@@ -245,12 +245,17 @@ def mark_terms(row):
 _TERMS = "array<struct<start:int,end:int,share:double>>"
 
 
-def find_spans(docs, text_col="text", id_col="doc_id"):
-    """``docs`` with ``base`` (pattern spans) and ``terms`` (spans of disclosing terms, with their share)."""
+def _disclosed(docs, text_col, id_col):
+    """(_hash, _shown): the disclosing terms of each text that has any, written once."""
     near = contexts(docs, text_col, id_col)
     # Bounded by the different words of one text.
     shown = disclosing_terms(near, docs, text_col).groupBy("text_hash").agg(F.collect_list(F.struct("term", "share")).alias("_shown"))
-    shown = materialize(shown, "terms").withColumnRenamed("text_hash", "_hash")
+    return materialize(shown, "terms").withColumnRenamed("text_hash", "_hash")
+
+
+def find_spans(docs, text_col="text", id_col="doc_id"):
+    """``docs`` with ``base`` (pattern spans) and ``terms`` (spans of disclosing terms, with their share)."""
+    shown = _disclosed(docs, text_col, id_col)
 
     def prepare():
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("share", pa.float64())]))
@@ -263,14 +268,20 @@ def find_spans(docs, text_col="text", id_col="doc_id"):
 
 
 def sanitise(docs, text_col="text", id_col="doc_id"):
-    """``docs`` with entities replaced by their kind, disclosing terms generalised to ``[TERM]`` or removed."""
+    """``docs`` with entities replaced by their kind, disclosing terms generalised to ``[TERM]`` or removed.
+
+    All other columns stay, whatever their names. Spans are found and replaced in one pass, by one
+    Python worker per task.
+    """
 
     def prepare():
-        def clean(text, base, terms):
+        def clean(text, shown):
             if text is None:
                 return None
-            marks = [(s["start"], s["end"], f"[{s['kind'].upper()}]") for s in base or ()]
-            marks += [(s["start"], s["end"], "" if s["share"] >= REMOVE else "[TERM]") for s in terms or ()]
+            base = [dict(zip(("kind", "start", "end"), s)) for s in base_spans(text)]
+            terms = mark_terms({"text": text, "base": base, "shown": shown}) if shown is not None else ()
+            marks = [(s["start"], s["end"], f"[{s['kind'].upper()}]") for s in base]
+            marks += [(s["start"], s["end"], "" if s["share"] >= REMOVE else "[TERM]") for s in terms]
             out, past = [], 0
             for start, end, shown in sorted(marks, key=lambda m: (m[0], -m[1])):
                 if start >= past:
@@ -280,9 +291,8 @@ def sanitise(docs, text_col="text", id_col="doc_id"):
                 past = max(past, end)
             return "".join(out) + text[past:]
 
-        return lambda rows: pa.array([clean(r["text"], r["base"], r["terms"]) for r in (x.as_py() for x in rows)], pa.string())
+        return lambda rows: pa.array((clean(r["text"].as_py(), r["shown"].as_py()) for r in rows), pa.string())
 
-    found = find_spans(docs, text_col, id_col)
-    needs = (F.size("base") > 0) | F.col("terms").isNotNull()
-    row = F.struct(F.col(text_col).alias("text"), F.when(needs, F.col("base")).alias("base"), F.when(needs, F.col("terms")).alias("terms"))
-    return found.withColumn(text_col, column_udf(prepare, "string")(row)).drop("base", "terms")
+    found = docs.join(_disclosed(docs, text_col, id_col), F.xxhash64(text_col) == F.col("_hash"), "left")
+    row = F.struct(F.col(text_col).alias("text"), F.col("_shown").alias("shown"))
+    return found.withColumn(text_col, column_udf(prepare, "string")(row)).drop("_hash", "_shown")

@@ -533,3 +533,9 @@ def test_tasks_get_plain_data(vocabulary):
 
     state = pickle.dumps(vars(vocabulary))
     assert b"corpusctx" not in state and bpe.Vocabulary.of(pickle.loads(state)).tokens == vocabulary.tokens
+
+
+def test_sanitised_documents_keep_their_columns(odd):
+    clean = pii.sanitise(odd)
+    assert clean.columns == odd.columns
+    assert sorted((r.doc_id, r.text, r.base, r.terms) for r in clean.collect() if r.text) == sorted((i, t, "x", "x") for i, t, *_ in ODD if t)
