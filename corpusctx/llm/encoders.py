@@ -10,7 +10,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 # Code points with the Unicode property White_Space.
 _WHITE = "\t-\r \x85\xa0  -     　"
 #: The pattern's look-ahead goes back over a run of blanks; longer runs are split off first.
-_LONG_RUN = re.compile(f"[{_WHITE}]{{2048,}}")
+_RUN = 2048
+_LONG_RUN = re.compile(f"[{_WHITE}]{{{_RUN},}}")
+_BLANKS = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{_WHITE}]", c))
 #: A place that no token crosses: between a character that is no blank and a space.
 _BORDER = re.compile(f"(?<=[^{_WHITE}])(?= .)", re.DOTALL)
 
@@ -28,7 +30,8 @@ class ByteEncoder:
     def _plain(self, text, out):
         """Ids of a text whose special tokens, if any, are plain text."""
         at = 0
-        for run in _LONG_RUN.finditer(text):
+        # A run that long covers one of these places.
+        for run in () if _BLANKS.isdisjoint(text[_RUN - 1 :: _RUN]) else _LONG_RUN.finditer(text):
             # The last blank of a run belongs to what follows; the others are one word.
             stop = run.end() if run.end() == len(text) else run.end() - 1
             out.append(self.encoding.encode_to_numpy(text[at : run.start()], disallowed_special=()))
