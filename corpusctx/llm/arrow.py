@@ -1,5 +1,6 @@
 """Arrow string columns as numpy arrays, cut into slices of bounded size."""
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,12 +35,40 @@ def slices(offsets, limit=SLICE_BYTES, rows=None):
         start = stop
 
 
+def release():
+    """Give the memory this worker has freed back to the system.
+
+    Workers serve one stage after the other, so what they keep adds up beside the JVM.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def releasing(run):
+    """A function of batches that gives its freed memory back when it ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def column_udf(prepare, kind):
     """Column function of Arrow arrays; ``prepare`` runs once per task and returns the function of one array."""
 
     def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         function = prepare()
-        for array in arrays:
-            yield function(array)
+        try:
+            for array in arrays:
+                yield function(array)
+                release()
+        finally:
+            del function
+            release()
 
     return F.arrow_udf(run, kind)

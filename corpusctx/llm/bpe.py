@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import functions as F
 
-from corpusctx.llm.arrow import SLICE_BYTES, byte_view, column_udf, slices
+from corpusctx.llm.arrow import SLICE_BYTES, byte_view, column_udf, releasing, slices
 from corpusctx.llm.bounded import most_frequent
 from corpusctx.sources.scratch import materialize, scratch_dir
 
@@ -416,7 +416,7 @@ def word_counts(docs, vocabulary, text_col="text"):
         if counts:
             yield rows()
 
-    counted = docs.select(F.col(text_col).alias("t")).mapInArrow(count, "word binary, n long")
+    counted = docs.select(F.col(text_col).alias("t")).mapInArrow(releasing(count), "word binary, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 

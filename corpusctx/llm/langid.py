@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from corpusctx.llm.arrow import byte_view, column_udf, slices
+from corpusctx.llm.arrow import byte_view, column_udf, releasing, slices
 from corpusctx.llm.bounded import most_frequent
 from corpusctx.llm.shingles import Words
 from corpusctx.sources.scratch import materialize
@@ -136,7 +136,7 @@ def lexicon_counts(docs, languages):
                     yield pa.RecordBatch.from_arrays([pa.array(h[at : at + (1 << 16)].view(np.int64)), *[own if i == k else zero for i in range(len(names))]], ["word", *names])
 
     schema = "word long, " + ", ".join(f"{c} long" for c in names)
-    found = docs.select("text", "lang").mapInArrow(run, schema)
+    found = docs.select("text", "lang").mapInArrow(releasing(run), schema)
     return found.groupBy("word").agg(*[F.sum(c).alias(c) for c in names])
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusctx.llm import setsketch
-from corpusctx.llm.arrow import byte_view, column_udf, slices
+from corpusctx.llm.arrow import byte_view, column_udf, releasing, slices
 from corpusctx.llm.shingles import Words, mix, shingle_sets
 from corpusctx.sources.scratch import materialize
 
@@ -55,7 +55,7 @@ def sketches(docs, size, text_col="text", id_col="doc_id"):
                 )
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return materialize(chosen.mapInArrow(run, "doc_id long, n_shingles long, key_a long, key_b long, registers binary"), "sketches")
+    return materialize(chosen.mapInArrow(releasing(run), "doc_id long, n_shingles long, key_a long, key_b long, registers binary"), "sketches")
 
 
 def _matrix(column):
@@ -74,7 +74,7 @@ def bands(classes):
                 ids = np.repeat(rows.column(0).to_numpy(), keys.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], ["bucket", "doc_id"])
 
-    return materialize(classes.select("doc_id", "registers").mapInArrow(run, "bucket long, doc_id long"), "bands")
+    return materialize(classes.select("doc_id", "registers").mapInArrow(releasing(run), "bucket long, doc_id long"), "bands")
 
 
 def shared_buckets(band_rows):
@@ -202,7 +202,7 @@ def remaining_links(shared, labels, classes, docs, size, text_col="text", id_col
                 yield from table.select(slim).take(np.unique(np.concatenate(found))).to_batches()
 
     schema = "bucket long, low int, high int, block int, doc_id long, label long, is_hub boolean"
-    chosen = materialize(placed.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(choose, schema), "chosen")
+    chosen = materialize(placed.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(releasing(choose), schema), "chosen")
     sets = full_sets(chosen.select("doc_id"), docs, size, text_col, id_col)
 
     def confirm(batches):
@@ -228,7 +228,7 @@ def remaining_links(shared, labels, classes, docs, size, text_col="text", id_col
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
 
     full = chosen.join(sets, "doc_id").select(*slim, "shingles")
-    return materialize(full.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(confirm, "a long, b long").distinct(), "more_links")
+    return materialize(full.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(releasing(confirm), "a long, b long").distinct(), "more_links")
 
 
 def _linked(a, b):
@@ -254,7 +254,7 @@ def full_sets(ids, docs, size, text_col="text", id_col="doc_id"):
 
     wanted = materialize(ids.distinct(), "wanted")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id", "left_semi")
-    return materialize(texts.mapInArrow(read_sets, "doc_id long, shingles binary"), "sets")
+    return materialize(texts.mapInArrow(releasing(read_sets), "doc_id long, shingles binary"), "sets")
 
 
 def verified(pairs, docs, size, text_col="text", id_col="doc_id"):

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Window, functions as F
 
+from corpusctx.llm.arrow import releasing
 from corpusctx.llm.encoders import ByteEncoder
 from corpusctx.operators.joins import join_on
 from corpusctx.sources.scratch import materialize
@@ -64,7 +65,7 @@ def tokenize(docs, vocabulary, queue, text_col="text", id_col="doc_id"):
 
     chosen = docs.select(F.col(id_col).alias("doc_id"), queue.alias("queue"), F.col(text_col).alias("text"))
     id_type = chosen.schema["doc_id"].dataType.simpleString()
-    table = chosen.mapInArrow(run, f"doc_id {id_type}, queue string, ids binary, doc_tokens long, part int, before long")
+    table = chosen.mapInArrow(releasing(run), f"doc_id {id_type}, queue string, ids binary, doc_tokens long, part int, before long")
     return materialize(table, "tokens"), kind
 
 
@@ -175,4 +176,4 @@ def pack(docs, vocabulary, source_col="source", text_col="text", id_col="doc_id"
     schema = f"doc_id {id_type}, queue string, start long, length long, {'ids binary, ' * with_ids}ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     names_out = [c.split(" ")[0] for c in schema.split(", ")]
     placed = join_on(table, bases, ["queue", "part"])
-    return placed.select("doc_id", "queue", "ids", "doc_tokens", "base", "before").mapInArrow(run, schema)
+    return placed.select("doc_id", "queue", "ids", "doc_tokens", "base", "before").mapInArrow(releasing(run), schema)

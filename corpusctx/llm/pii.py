@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from corpusctx.llm.arrow import column_udf
+from corpusctx.llm.arrow import column_udf, releasing
 from corpusctx.sources.scratch import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -174,7 +174,7 @@ def contexts(docs, text_col="text", id_col="doc_id"):
     names = ["doc_id", "text_hash", "entity", *_KEYS]
     kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), *[pa.int64()] * SKETCH]
     schema = "doc_id string, text_hash long, entity string, around string" + "".join(f", copy{k} long" for k in range(SKETCH))
-    return materialize(chosen.mapInArrow(run, schema), "contexts")
+    return materialize(chosen.mapInArrow(releasing(run), schema), "contexts")
 
 
 def text_terms(docs, hashes, text_col="text"):
@@ -189,7 +189,7 @@ def text_terms(docs, hashes, text_col="text"):
                     yield pa.RecordBatch.from_arrays([pa.array([digest] * len(part), pa.int64()), pa.array(part, pa.string())], ["text_hash", "term"])
 
     held = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    return held.join(hashes, "text_hash", "left_semi").mapInArrow(run, "text_hash long, term string").distinct()
+    return held.join(hashes, "text_hash", "left_semi").mapInArrow(releasing(run), "text_hash long, term string").distinct()
 
 
 def document_frequency(docs, terms, text_col="text"):
@@ -207,7 +207,7 @@ def document_frequency(docs, terms, text_col="text"):
         if counts:
             yield pa.RecordBatch.from_pydict({"term": list(counts), "n": list(counts.values())})
 
-    found = docs.select(F.col(text_col)).mapInArrow(run, "term string, n long")
+    found = docs.select(F.col(text_col)).mapInArrow(releasing(run), "term string, n long")
     return found.join(terms, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
 
 

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from corpusctx.llm.arrow import byte_view, column_udf
+from corpusctx.llm.arrow import byte_view, column_udf, releasing
 from corpusctx.llm.bounded import hashed_sample
 from corpusctx.sources.scratch import materialize
 
@@ -78,7 +78,7 @@ def gram_counts(labelled):
         rows = [np.append(seen, -1), np.append(counts[1][seen], totals[1]), np.append(counts[0][seen], totals[0])]
         yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int64)) for r in rows], ["feature", "positive", "negative"])
 
-    found = labelled.select("text", "label").mapInArrow(run, "feature long, positive long, negative long")
+    found = labelled.select("text", "label").mapInArrow(releasing(run), "feature long, positive long, negative long")
     return found.groupBy("feature").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
 
 
