@@ -16,6 +16,9 @@ SLUG_MAX = 100
 SLUG_EMPTY = "unnamed"
 SLUG_ONLY_PUNCTUATION = "----------.txt"
 
+# Characters of a text looked at first, for each one of its slug.
+SLUG_START = 3
+
 # Fixed values of the key mask: longer keys keep both ends, shorter ones nothing.
 MASK_SHORT = "***"
 MASK_GAP = "..."
@@ -116,23 +119,44 @@ def ascii_fold(col) -> Column:
     return F.when(col.rlike(_NON_ASCII), _let(plain, finish)).otherwise(col)
 
 
-def slugify(col, max_length=SLUG_MAX) -> Column:
-    """A file-name-safe, lower-case form of a text."""
+def _dashed(name):
+    """Runs of other characters as dashes, none at the ends, in lower case."""
+    slug = F.regexp_replace(name, r"[ \t\n\x0B\f\r\x1c-\x1f/\\:]+", "-")
+    slug = F.regexp_replace(slug, r"[^A-Za-z0-9_.\-]+", "-")
+    return F.lower(F.btrim(slug, F.lit("-")))
+
+
+def whole_slug(col, max_length=SLUG_MAX) -> Column:
+    """``slugify`` by way of the whole text."""
 
     def cut(slug):
         return F.when(slug == "", F.lit(SLUG_EMPTY)).otherwise(F.left(slug, F.lit(max_length)))
 
     def shape(name):
-        slug = F.regexp_replace(name, r"[ \t\n\x0B\f\r\x1c-\x1f/\\:]+", "-")
-        slug = F.regexp_replace(slug, r"[^A-Za-z0-9_.\-]+", "-")
         only_punctuation = name.rlike(r"\A[^A-Za-z0-9_]*\.txt\n?\z")
-        return F.when(only_punctuation, F.lit(SLUG_ONLY_PUNCTUATION)).otherwise(
-            _let(F.lower(F.btrim(slug, F.lit("-"))), cut)
-        )
+        return F.when(only_punctuation, F.lit(SLUG_ONLY_PUNCTUATION)).otherwise(_let(_dashed(name), cut))
 
     return _let(ascii_fold(col), shape)
 
 
+def slugify(col, max_length=SLUG_MAX) -> Column:
+    """A file-name-safe, lower-case form of a text.
+
+    Each step maps a start of the text to a start of its result, so a start that gives ``max_length``
+    characters settles the slug, once a letter, digit or underscore among them shows that it is
+    not mere punctuation before ``.txt``. Only other texts are shaped whole.
+    """
+    near = F.left(col, F.lit(SLUG_START * max_length))
+    word = r"[a-z0-9_]"
+
+    def settle(start):
+        # The last four characters may be the ``.txt`` itself.
+        settled = (F.length(start) >= max_length) & F.left(start, F.lit(max_length - 4)).rlike(word)
+        return F.when(settled, F.left(start, F.lit(max_length))).otherwise(whole_slug(col, max_length))
+
+    return F.when(col.isNotNull(), _let(_dashed(ascii_fold(near)), settle))
+
+
 def mask_key(col) -> Column:
     """Show only the ends of a key."""
     return F.when(

@@ -75,7 +75,7 @@ NO_PROMPT = "not sent: the request has no prompt"
 def _ask(batches, provider):
     for batch in batches:
         rows = []
-        for task_id, model, body in zip(batch["task_id"], batch["model"], batch["body"]):
+        for model, body in zip(batch["model"], batch["body"]):
             started = time.monotonic()
             raw = error = None
             if body is None:
@@ -85,16 +85,20 @@ def _ask(batches, provider):
                     raw = provider(model, body)
                 except Exception as problem:  # one failure never stops the other requests
                     error = f"Error: {problem}"
-            rows.append((task_id, model, raw, error, time.monotonic() - started))
-        yield pd.DataFrame(rows, columns=["task_id", "model", "raw", "error", "seconds"])
+            rows.append((raw, error, time.monotonic() - started))
+        answers = pd.DataFrame(rows, columns=["raw", "error", "seconds"], index=batch.index)
+        yield batch.drop(columns="body").join(answers)
 
 
 def dispatch_batch(requests, provider, concurrency=CONCURRENCY):
     """Ask ``provider(model, body) -> raw response`` for every request: one row each, answer or error.
 
     At most ``concurrency`` tasks run it at once. A lost executor repeats its requests, so
-    a provider should recognise a (task, model) it has answered.
+    a provider should recognise a (task, model) it has answered; ``ledger.dispatch_to_ledger``
+    writes answers as they come. A ``request_id`` of the requests stays with the answers.
     """
+    carried = [c for c in ("request_id",) if c in requests.columns]
     schema = f"task_id {requests.schema['task_id'].dataType.simpleString()}, model string, raw string, error string, seconds double"
-    spread = requests.select("task_id", "model", "body").repartition(concurrency, "task_id", "model")
+    schema += "".join(f", {c} {requests.schema[c].dataType.simpleString()}" for c in carried)
+    spread = requests.select("task_id", "model", "body", *carried).repartition(concurrency, "task_id", "model", *carried)
     return spread.mapInPandas(partial(_ask, provider=provider), schema)

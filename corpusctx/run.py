@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 
 from corpusctx.functions.text import DEFAULT_RATIO
 from corpusctx.operators import assemble, dispatch, measure, results, roots, selection, settings
-from corpusctx.operators.joins import join_sparse
 from corpusctx.sources.responses import read_response_log
 from corpusctx.sources.scratch import materialize
 
@@ -82,10 +81,7 @@ def reconcile(log, generation, timestamp, attempts=None):
     """
     # Written once: a lazy log would ask its provider again at every use.
     log = materialize(log, "answers")
-    usage = results.attach_generation(read_response_log(log), generation)
-    if attempts is not None:
-        outcomes = results.resolve_attempts(attempts).select("generation_id", "outcome", "last_code")
-        usage = join_sparse(usage, outcomes, "generation_id", "request_id")
-    final = results.finalize_results(usage, timestamp)
-    final = final.join(log.select("request_id", "task_id"), "request_id")
+    outcomes = None if attempts is None else results.resolve_attempts(attempts)
+    usage = results.attach_generation(read_response_log(log), generation, outcomes)
+    final = results.finalize_results(usage, timestamp, carried=("task_id",))
     return final, results.run_costs(final)

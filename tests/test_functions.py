@@ -179,3 +179,17 @@ def test_segment_globs_match_like_a_folder_walk(tmp_path, spark, rows):
             expected |= {os.path.relpath(p, tmp_path) for p in below}
         regex = compile_segments(pattern).members
         assert {r[0] for r in df.filter(F.col("path").rlike(regex)).collect()} == expected, pattern
+
+
+def test_slug_by_its_start_equals_the_whole(values):
+    rng = random.Random(5)
+    pieces = ["a", "Z", "_", "-", ".", " ", "/", "\n", "\u00e9", "\u4e2d", "\ufb01", "!", "....", "----", "   ", ".txt", "0"]
+    texts = [
+        "".join(rng.choices(pieces, [rng.random() ** 4 for _ in pieces], k=rng.choice([3, 40, 99, 100, 101, 300, 700])))
+        + rng.choice(["", ".txt", ".txt\n", "x.txt"])
+        for _ in range(1500)
+    ]
+    texts += ["." * n + end for n in (90, 95, 96, 97, 100, 300, 400) for end in (".txt", ".txt\n", "a.txt", "txt", "a")]
+    texts += ["\u4e2d" * 400 + "word", "-" * 500 + "b" * 200, "", None, "a" * 99 + "-" * 400 + "b"]
+    assert values(texts, lambda c: text.slugify(F.col(c))) == values(texts, lambda c: text.whole_slug(F.col(c)))
+    assert values(texts, lambda c: text.slugify(F.col(c), 3)) == values(texts, lambda c: text.whole_slug(F.col(c), 3))

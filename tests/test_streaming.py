@@ -29,6 +29,19 @@ def test_status_stream_equals_batch(spark, rows, tmp_path):
     assert {(r.run, r.model): r.status for r in batch.collect()} == {k: v[2] for k, v in newest.items()}
 
 
+def test_a_new_checkpoint_lets_no_stale_event_win(spark, rows, tmp_path):
+    fresh = rows([(5, 2000, 1, "m/a", "Done"), (6, 2000, 1, "m/b", "Queued")], SCHEMA)
+    stale = rows([(1, 1000, 1, "m/a", "Queued"), (7, 2000, 1, "m/b", "Error"), (2, 10, 2, "m/a", "Sending")], SCHEMA)
+    for n, events in enumerate((fresh, stale, stale)):
+        source = str(tmp_path / f"events{n}")
+        events.coalesce(1).write.parquet(source)
+        stream = spark.readStream.schema(SCHEMA).parquet(source)
+        status.start_status(stream, str(tmp_path / "status"), str(tmp_path / f"check{n}")).awaitTermination(120)
+    got = {tuple(r) for r in status.current_status(spark, str(tmp_path / "status")).collect()}
+    assert got == {tuple(r) for r in status.latest_status(fresh.union(stale)).collect()}
+    assert (1, "m/a", "Done", 2000) in got and (1, "m/b", "Error", 2000) in got and len(got) == 3
+
+
 def test_refresh_equals_batch(spark, rows, tmp_path):
     schema = "project string, path string, content string"
     tasks = rows([(1, "do", "p1"), (2, "it", "p2"), (3, "", "p9"), (4, "more", "p1")], "task_id bigint, definition string, project string")
