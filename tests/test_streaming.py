@@ -67,3 +67,30 @@ def test_refresh_equals_batch(spark, rows, tmp_path):
     totals = assemble.prompt_totals(files, tasks)
     assert {tuple(r) for r in refresh.totals(spark).select(*totals.columns).collect()} == {tuple(r) for r in totals.collect()}
     assert {tuple(r) for r in refresh.files(spark).select(*files.columns).collect()} == {tuple(r) for r in files.collect()}
+
+
+def test_refresh_forgets_removed_files_and_skips_unreadable_ones(spark, rows, tmp_path):
+    schema = "project string, path string, content string, read_error string, removed boolean"
+    tasks = rows([(1, "do", "p1"), (2, "it", "p2"), (3, "", "p3")], "task_id bigint, definition string, project string")
+    drops = [
+        [("p1", "a/x.md", "one", None, None), ("p1", "b/y.md", "two" * 9, None, False), ("p2", "c/z.md", "three", None, False), ("p1", "d/w.md", "w", None, False)],
+        [("p1", "b/y.md", None, None, True), ("p2", "c/z.md", None, None, True), ("p1", "e/bad.md", None, "denied", False), ("p1", "d/w.md", None, "denied", False)],
+        [("p1", "a/never.md", None, None, True), ("p3", "k.md", "back", None, False), ("p2", "c/z.md", "three again", None, False), ("p1", "a/x.md", None, None, True)],
+    ]
+    path = str(tmp_path / "out")
+    final = {}
+    for epoch, drop in enumerate(drops):
+        for _ in range(1 + epoch % 2):  # a repeated batch changes nothing
+            ContextRefresh(path, tasks).process(rows(drop, schema), epoch)
+        for project, name, content, problem, removed in drop:
+            final.pop((project, name), None)
+            if not removed:
+                final[project, name] = (project, name, content, problem)
+        refresh = ContextRefresh(path, tasks)
+        whole = rows(list(final.values()), "project string, path string, content string, read_error string")
+        files = selection.included(selection.classify_files(whole))
+        folders = measure.folder_tokens(files).select("project", "folder", "tokens")
+        assert {tuple(r) for r in refresh.folders(spark).select(*folders.columns).collect()} == {tuple(r) for r in folders.collect()}
+        totals = assemble.prompt_totals(files, tasks)
+        assert {tuple(r) for r in refresh.totals(spark).select(*totals.columns).collect()} == {tuple(r) for r in totals.collect()}
+        assert {tuple(r) for r in refresh.files(spark).select(*files.columns).collect()} == {tuple(r) for r in files.collect()}
