@@ -120,11 +120,14 @@ def body_chunks(blocks, keys=("project",), chunk_chars=chunks.CHUNK_CHARS):
     return chunks.text_chunks(ordered, list(keys), ["_path"], "block", chunk_chars)
 
 
+def task_tail(templates=Templates()):
+    """What follows the files in a task's prompt."""
+    return F.concat(F.lit(templates.task_open), F.coalesce("definition", F.lit("")), F.lit(templates.task_close))
+
+
 def prompt_chunks(bodies, tasks, payload="chunk", keys=("project",), templates=Templates(), finish=lambda c: c, chunk_chars=chunks.CHUNK_CHARS):
     """``task_id, chunk_no, n_chars, payload``: every character of each prompt; the task's own text begins a chunk."""
-    t = templates
-    tail = F.concat(F.lit(t.task_open), F.coalesce("definition", F.lit("")), F.lit(t.task_close))
-    return chunks.append_chunks(tasks, bodies, list(keys), tail, payload, finish, chunk_chars)
+    return chunks.append_chunks(tasks, bodies, list(keys), task_tail(templates), payload, finish, chunk_chars)
 
 
 def assemble_bodies(blocks, keys=("project",), max_chars=MAX_CELL_CHARS):

@@ -56,6 +56,12 @@ def text_chunks(df, keys, order, value, chunk_chars=CHUNK_CHARS):
     return chunks.select(*keys, "chunk_no", F.length("chunk").cast("bigint").alias("n_chars"), "chunk")
 
 
+def cut_chunks(df, keys, value, chunk_chars=CHUNK_CHARS):
+    """One text per row as chunks: ``keys, chunk_no, n_chars, chunk``; empty and null texts have none."""
+    cut = df.where(F.length(value) > 0).select(*keys, F.explode(_pieces(F.col(value), F.lit(0).cast("bigint"), chunk_chars)).alias("c"))
+    return cut.select(*keys, F.col("c.chunk_no").alias("chunk_no"), F.length("c.piece").cast("bigint").alias("n_chars"), F.col("c.piece").alias("chunk"))
+
+
 def append_chunks(tasks, chunks, keys, tail, payload="chunk", finish=lambda c: c, chunk_chars=CHUNK_CHARS):
     """Chunks of each task: those of its group, then ``tail`` (a text per task) from a new chunk on.
 

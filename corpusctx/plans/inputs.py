@@ -65,12 +65,12 @@ def project_rules(spark, sf_dir):
 
 def roots(spark, sf_dir):
     docs = files(spark, sf_dir)
-    path, doc = F.col("path"), F.col("doc_id")
+    path = F.col("path")
     chosen = F.filter(
         F.array(
-            F.when(doc % 50 == 0, F.col("project")),
-            F.when((doc % 9 == 2) & (F.col("lang") != "en"), paths.folder(path)),
-            F.when(doc % 7 == 1, path),
+            F.when(F.startswith("project", F.lit("src1")), F.col("project")),
+            F.when(F.col("lang") != "en", paths.folder(path)),
+            path,
         ),
         lambda x: x.isNotNull(),
     )
@@ -145,6 +145,11 @@ def sources(spark, sf_dir):
     )
 
 
+def landed_sources(spark, sf_dir):
+    """The sources that an earlier run has landed: every page under its plain address."""
+    return table(spark, sf_dir, "pages").select("page_id", F.substring_index("url", ":", 1).alias("project"), "url", F.md5("html").alias("commit"))
+
+
 def folders(spark, sf_dir):
     event = F.col("event_id")
     numbered = _text(F.lpad((event % 130 + 1).cast("string"), 3, "0"), "-", F.col("event_type"))
@@ -172,10 +177,12 @@ def params(spark, sf_dir):
         .when(event % 6 == 4, "text")
         .otherwise("")
     )
+    # Values are dealt to all tasks, whose ids run from 0.
+    n_tasks = F.lit(max(table(spark, sf_dir, "benchmark").count(), 1)).cast("bigint")
     return table(spark, sf_dir, "events").select(
-        (F.col("user_id") % 10).alias("task_id"),
+        (event % n_tasks).alias("task_id"),
         event.alias("ordinal"),
-        _text("m/", (F.col("user_id") % 3).cast("string")).alias("model"),
+        F.element_at(F.array(*[F.lit(m) for m in MODELS]), (F.col("user_id") % len(MODELS) + 1).cast("int")).alias("model"),
         _mapped("event_type", PARAM_KEYS, "other").alias("k"),
         value.alias("v"),
     )
@@ -266,13 +273,41 @@ def response_log(spark, sf_dir):
         F.when(event % 17 == 0, "").otherwise("}"),
     )
     return table(spark, sf_dir, "events").select(
-        event.alias("request_id"), _text("m/", (F.col("user_id") % 3).cast("string")).alias("model"), raw.alias("raw")
+        event.alias("request_id"), F.col("user_id").alias("task_id"), _text("m/", (F.col("user_id") % 3).cast("string")).alias("model"), raw.alias("raw")
     )
 
 
+#: The answers to the lookups of each kind of event, in order: code, and whether details came with it.
+LOOKUPS = {
+    "purchase": [(200, True)],
+    "signup": [(404, False), (200, True)],
+    "view": [(404, False), (404, False), (404, False)],
+    "click": [(200, False)],
+    "error": [(500, False)],
+}
+#: The same for events of a small value: not ended yet, and never an answer to settle on.
+RARE_LOOKUPS = {"view": [(404, False)], "click": [(204, False), (204, False), (204, False)]}
+RARE_BELOW = 10
+
+
+def lookup_log(spark, sf_dir):
+    """Every attempt to look up the details of every answer."""
+    def tries(answers):
+        return F.array(*[F.struct(F.lit(i + 1).alias("attempt"), F.lit(c).alias("code"), F.lit(d).alias("has_data")) for i, (c, d) in enumerate(answers)])
+
+    log = F.when(F.lit(False), tries(LOOKUPS["purchase"]))
+    for kind, answers in RARE_LOOKUPS.items():
+        log = log.when((F.col("event_type") == kind) & (F.col("value") < RARE_BELOW), tries(answers))
+    for kind, answers in LOOKUPS.items():
+        log = log.when(F.col("event_type") == kind, tries(answers))
+    return table(spark, sf_dir, "events").select(_text("gen-", _string("event_id")).alias("generation_id"), F.inline(log))
+
+
 def generation(spark, sf_dir):
+    """The details that the lookups found."""
     event = F.col("event_id")
-    return table(spark, sf_dir, "events").filter(event % 2 == 0).select(
+    found = [kind for kind, answers in LOOKUPS.items() if answers[-1] == (200, True)]
+    return table(spark, sf_dir, "events").filter(F.col("event_type").isin(found)).select(
         _text("gen-", event.cast("string")).alias("generation_id"),
         F.when(event % 4 == 0, 0.0).otherwise(F.col("value")).alias("usage"),
         F.col("value").alias("total_cost"),

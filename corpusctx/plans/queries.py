@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from corpusctx.functions import paths, text
-from corpusctx.operators import assemble, chunks, dispatch, measure, naming, results, roots, selection, settings
+from corpusctx.operators import assemble, chunks, dispatch, measure, naming, results, roots, selection, settings, store
 from corpusctx.operators.ordering import path_order as number_paths
 from corpusctx.plans import inputs
 from corpusctx.sources.responses import read_response_log
@@ -12,6 +12,7 @@ from corpusctx.sources.scratch import materialize
 from corpusctx.streaming import status
 
 TOP = 3
+MANIFEST_CHARS = 1 << 10
 
 
 def _classified(spark, d, content=False):
@@ -49,7 +50,7 @@ def effective_excludes(spark, d):
     layers = {
         "builtin": builtin,
         "project": docs.select(F.explode(F.array(folder, F.lit("*.log"))).alias("pattern")),
-        "run": docs.filter(F.col("doc_id") % 2 == 0).select(F.explode(F.array(folder, ending)).alias("pattern")),
+        "run": docs.select(F.explode(F.array(folder, ending)).alias("pattern")),
     }
     return selection.effective_excludes(layers)
 
@@ -66,7 +67,7 @@ def includes_split(spark, d):
 
 
 def _registry(spark, d):
-    known = naming.normalize_sources(inputs.sources(spark, d)).filter(F.col("page_id") % 5 == 0)
+    known = naming.normalize_sources(inputs.landed_sources(spark, d))
     folder = F.concat(naming.pad_number(F.col("page_id") + 1, 3), F.lit("-known"))
     return naming.latest_wins(known.withColumn("folder", folder), ["project", "repo_key"], ["page_id"], "folder")
 
@@ -151,6 +152,20 @@ def prompts(spark, d):
     return assemble.prompt_chunks(_bodies(spark, d), inputs.tasks(spark, d), payload="chunk_sha256", finish=text.sha256)
 
 
+def _store(spark, d):
+    return store.prompt_store(assemble.body_chunks(assemble.project_blocks(_selected(spark, d))), inputs.tasks(spark, d))
+
+
+def prompt_references(spark, d):
+    """Every chunk of every prompt by address; texts are stored once and do not meet the tasks."""
+    return store.references(_store(spark, d))
+
+
+def prompt_contents(spark, d):
+    """The different texts of all prompts, each once."""
+    return _store(spark, d).contents.select("address", "n_chars")
+
+
 def conversations_joined(spark, d):
     joined = chunks.text_chunks(inputs.turns(spark, d), ["conv_id"], ["turn"], "block")
     return joined.select("conv_id", "chunk_no", "n_chars", text.sha256(F.col("chunk")).alias("chunk_sha256"))
@@ -175,19 +190,30 @@ def prompt_totals(spark, d):
     return assemble.prompt_totals(_selected(spark, d), inputs.tasks(spark, d))
 
 
-def task_manifest(spark, d):
-    files = _selected(spark, d)
-    tasks = inputs.tasks(spark, d)
+def _remotes(spark, d, tasks):
     # Sources are dealt to all tasks, whose ids run from 0.
     n_tasks = F.lit(max(tasks.count(), 1)).cast("bigint")
-    remotes = naming.normalize_sources(inputs.sources(spark, d)).select(
+    return naming.normalize_sources(inputs.sources(spark, d)).select(
         (F.col("page_id") % n_tasks).alias("task_id"), "base_url", "branch", "commit",
         F.concat(F.lit(inputs.CHECKOUTS), F.col("page_id").cast("string")).alias("folder"),
     )
-    manifest = assemble.task_manifest(files, tasks, assemble.prompt_totals(files, tasks), remotes)
+
+
+def task_manifest(spark, d):
+    files = _selected(spark, d)
+    tasks = inputs.tasks(spark, d)
+    manifest = assemble.task_manifest(files, tasks, assemble.prompt_totals(files, tasks), _remotes(spark, d, tasks))
     return manifest.select("task_id", "name", "n_sources", "sources_text", "models_text", "est_tokens")
 
 
+def manifest_chunks(spark, d):
+    """The source lines of every manifest whole, whatever their number."""
+    tasks = inputs.tasks(spark, d)
+    files = _classified(spark, d).filter(F.col("verdict") == selection.INCLUDED)
+    cut = assemble.manifest_chunks(files, tasks, _remotes(spark, d, tasks), chunk_chars=MANIFEST_CHARS)
+    return cut.select("task_id", "chunk_no", "n_chars", text.sha256(F.col("chunk")).alias("chunk_sha256"))
+
+
 def tasks_intake(spark, d):
     taken = settings.intake_tasks(inputs.task_requests(spark, d), inputs.task_contents(spark, d))
     return taken.select("task_id", "definition", "error", "skip_reason")
@@ -280,12 +306,20 @@ def usage_joined(spark, d):
     return _usage(spark, d).select("request_id", "cost", "tokens_prompt", "tokens_completion", "total_tokens", "cost_known")
 
 
+def _final(spark, d):
+    """Responses with the details and outcomes of their lookups, settled in one plan."""
+    outcomes = results.resolve_attempts(inputs.lookup_log(spark, d))
+    usage = results.attach_generation(_responses(spark, d), inputs.generation(spark, d), outcomes)
+    return results.finalize_results(usage, inputs.STAMP, carried=("task_id",))
+
+
 def results_final(spark, d):
-    request = F.col("request_id")
-    outcome = F.when(request % 9 == 1, "EMPTY").when(request % 9 == 3, "FAILED").when(request % 9 == 5, "EXHAUSTED")
-    usage = _usage(spark, d).withColumns({"outcome": outcome, "last_code": F.lit(500)})
-    final = results.finalize_results(usage, inputs.STAMP)
-    return final.select("request_id", "status", text.sha256(F.col("result")).alias("result_sha256"), "error")
+    return _final(spark, d).select("request_id", "status", text.sha256(F.col("result")).alias("result_sha256"), "error")
+
+
+def answers_costs(spark, d):
+    """Costs per task of the settled answers: log, lookups, details, results and sums end to end."""
+    return results.run_costs(_final(spark, d))
 
 
 def run_costs(spark, d):
@@ -326,10 +360,10 @@ QUERIES = {
     for q in (
         files_classified, files_classified_by_project, selection_counts, rules_parsed, effective_excludes,
         includes_expanded, includes_split, search_paths, roots_kept, files_under_roots, doc_tokens, tokens_by_ratio,
-        paths_relative, folder_tokens, top_folders, path_order, blocks, prompt_parts, prompts, conversations_joined,
-        task_files, task_selection, prompt_totals, task_manifest, tasks_intake, slugs, result_names, sources_normalized, registry_resolved,
+        paths_relative, folder_tokens, top_folders, path_order, blocks, prompt_parts, prompts, prompt_references, prompt_contents, conversations_joined,
+        task_files, task_selection, prompt_totals, task_manifest, manifest_chunks, tasks_intake, slugs, result_names, sources_normalized, registry_resolved,
         folder_mapping, next_numbers, params_typed, params_split, params_latest, overrides, settings_resolved,
-        dispatch_plan, requests, responses_parsed, lookups, attempts_resolved, usage_joined, results_final, run_costs,
+        dispatch_plan, requests, responses_parsed, lookups, attempts_resolved, usage_joined, results_final, answers_costs, run_costs,
         secrets_masked, latest_status, run_progress, context_by_source,
     )
 }
