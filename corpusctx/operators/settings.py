@@ -10,11 +10,11 @@ from corpusctx.functions import params, text
 PARAM_GROUP = 3
 
 
-def intake_tasks(requests, contents):
+def intake_tasks(requests, contents, carried=()):
     """Settle each task's text from an inline value or a file; ``error`` says why a row cannot run.
 
     ``requests``: task_id, name, inline, task_file, models; ``contents``: task_file, content.
-    ``skip_reason`` marks good tasks that are not worth dispatching.
+    ``skip_reason`` marks good tasks that are not worth dispatching. Columns named in ``carried`` stay.
     """
     asked = requests.select("task_file").distinct()
     contents = contents.select("task_file", F.col("content").alias("_text")).join(asked, "task_file", "left_semi")
@@ -33,6 +33,7 @@ def intake_tasks(requests, contents):
         definition.alias("definition"),
         error.alias("error"),
         F.when(error.isNull(), skip_reason(F.col("models"), definition)).alias("skip_reason"),
+        *carried,
     )
 
 

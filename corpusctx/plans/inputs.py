@@ -125,6 +125,35 @@ def task_requests(spark, sf_dir):
     )
 
 
+def own_requests(spark, sf_dir):
+    """The requests of tasks, each in a project."""
+    return task_requests(spark, sf_dir).withColumn("project", _text("src", (F.col("task_id") % 20).cast("string")))
+
+
+#: The remote source that tasks name, and its folder where it is known and where it is the first new one.
+REMOTE_KEY, KNOWN_FOLDER, NEW_FOLDER = "https://h/r#DEFAULT", "041-r", "01-r"
+
+
+def remote_registry(spark, sf_dir):
+    """Projects that know the remote source, with the last commit seen there."""
+    pages = table(spark, sf_dir, "pages").select(_text("src", (F.col("page_id") % 10).cast("string")).alias("project"), F.md5("html").alias("commit"))
+    return pages.groupBy("project").agg(F.max("commit").alias("commit")).select(
+        "project", F.lit(REMOTE_KEY).alias("repo_key"), F.lit(KNOWN_FOLDER).alias("folder"), "commit"
+    )
+
+
+def landed(spark, sf_dir):
+    """Documents, and pages as files landed from the remote source."""
+    page = F.col("page_id")
+    folder = F.when(page % 20 < 10, KNOWN_FOLDER).otherwise(NEW_FOLDER)
+    pages = table(spark, sf_dir, "pages").select(
+        _text("src", (page % 20).cast("string")).alias("project"),
+        _text(CHECKOUTS, folder, "/page_", page.cast("string"), ".html").alias("path"),
+        F.col("html").alias("content"),
+    )
+    return corpus(spark, sf_dir).unionByName(pages)
+
+
 def task_contents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(
         _text("doc_", _string("doc_id")).alias("task_file"), F.col("text").alias("content")

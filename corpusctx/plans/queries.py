@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from corpusctx import run
 from corpusctx.functions import paths, text
-from corpusctx.operators import assemble, chunks, dispatch, measure, naming, results, roots, selection, settings, store
+from corpusctx.operators import assemble, chunks, dispatch, measure, naming, profiles, results, roots, selection, settings, store
 from corpusctx.operators.ordering import path_order as number_paths
 from corpusctx.plans import inputs
 from corpusctx.sources.responses import read_response_log
@@ -186,6 +187,21 @@ def task_selection(spark, d):
     return classified.select("task_id", "path", "first_pattern", "verdict", "first_rule")
 
 
+def run_prepared(spark, d):
+    """Tasks with texts, includes, rules and remote sources of their own, from requests to prompts measured whole."""
+    found = run.select_each(
+        inputs.landed(spark, d), inputs.own_requests(spark, d), inputs.task_contents(spark, d),
+        inputs.task_includes(spark, d), inputs.task_rules(spark, d), inputs.remote_registry(spark, d),
+    )
+    return assemble.prompt_totals(found.chosen, found.tasks, ["profile"])
+
+
+def run_remotes(spark, d):
+    """The folder of each remote source of each task."""
+    tasks = inputs.own_requests(spark, d)
+    return profiles.remote_folders(tasks, inputs.task_includes(spark, d), inputs.remote_registry(spark, d)).drop("project", "branch")
+
+
 def prompt_totals(spark, d):
     return assemble.prompt_totals(_selected(spark, d), inputs.tasks(spark, d))
 
@@ -361,7 +377,7 @@ QUERIES = {
         files_classified, files_classified_by_project, selection_counts, rules_parsed, effective_excludes,
         includes_expanded, includes_split, search_paths, roots_kept, files_under_roots, doc_tokens, tokens_by_ratio,
         paths_relative, folder_tokens, top_folders, path_order, blocks, prompt_parts, prompts, prompt_references, prompt_contents, conversations_joined,
-        task_files, task_selection, prompt_totals, task_manifest, manifest_chunks, tasks_intake, slugs, result_names, sources_normalized, registry_resolved,
+        task_files, task_selection, run_prepared, run_remotes, prompt_totals, task_manifest, manifest_chunks, tasks_intake, slugs, result_names, sources_normalized, registry_resolved,
         folder_mapping, next_numbers, params_typed, params_split, params_latest, overrides, settings_resolved,
         dispatch_plan, requests, responses_parsed, lookups, attempts_resolved, usage_joined, results_final, answers_costs, run_costs,
         secrets_masked, latest_status, run_progress, context_by_source,
