@@ -5,9 +5,10 @@
 2. Documents that share a band of registers share a bucket. In each bucket the document with the
    most bucket mates is the hub, and every other member is compared with it: one pair per member,
    however large the bucket. Verified pairs give first components.
-3. Members of one bucket that are still in different components are compared among themselves,
-   in blocks inside tasks; only links that join components come out. So no link between
-   components is lost, and no group, of copies or not, ever emits all its pairs.
+3. Members of one bucket that are still in different components are compared inside tasks, in
+   blocks of a bounded size. Members of the bucket's largest component need not meet each other:
+   they are copied once per block of the others. Only links that join components come out. So no
+   link between components is lost, and no group, of copies or not, ever emits all its pairs.
 4. Those links join first components to the final ones.
 
 A document without words (null or empty text too) is linked with nothing. Rows that share a
@@ -27,7 +28,9 @@ from corpusctx.sources.scratch import materialize
 PERCENT = 80
 #: A pair whose estimate lies this far under the threshold is not verified: six standard errors.
 SLACK = 0.15
-BLOCK = 256
+BLOCK = 512
+#: Pairs of sketches that are compared at once.
+_AT_ONCE = 1 << 13
 #: Registers are equal with a probability of at least the similarity; below this the estimate is not made.
 FEWEST_EQUAL = setsketch.REGISTERS // 2
 
@@ -155,8 +158,9 @@ class _Group:
             return
         keys = setsketch.band_keys(self.sketch)
         left, right = np.flatnonzero((self.block == self.low) & ~self.hub), np.flatnonzero((self.block == self.high) & ~self.hub)
-        for at in range(0, len(left), 32):
-            i, j = left[at : at + 32, None], right[None, :]
+        step = max(1, _AT_ONCE // max(1, len(right)))
+        for at in range(0, len(left), step):
+            i, j = left[at : at + step, None], right[None, :]
             apart = (self.label[i] != self.label[j]) & (100 * np.minimum(sizes[i], sizes[j]) >= PERCENT * np.maximum(sizes[i], sizes[j]))
             if self.low == self.high:
                 apart &= self.ids[i] < self.ids[j]
@@ -171,35 +175,55 @@ class _Group:
 
 
 _GROUP = ["bucket", "low", "high"]
+_SLIM = ["bucket", "low", "high", "block", "doc_id", "label", "is_hub"]
+
+
+def unsettled_blocks(labelled):
+    """(bucket, low, high, block, doc_id, label, is_hub): the members of buckets with several components, once per group.
+
+    ``labelled``: (bucket, doc_id, mates, hub, label), written. A bucket of up to ``BLOCK`` members is one group. In a larger one
+    the members outside its largest component (the loose ones) and those in it have blocks of their own, and every block of loose
+    members meets every block. Two members of different components so share exactly one group, and n members with r loose
+    ones make about n + 2 n r / ``BLOCK`` rows.
+    """
+    parts = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    parts = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", -F.col("label"))).alias("top"))
+    split = parts.where("parts > 1").select("bucket", F.col("top.n").alias("n_top"), (-F.col("top.col2")).alias("top"))
+    members = labelled.join(materialize(split, "split"), "bucket").withColumn("large", F.col("mates") + 1 > BLOCK)
+    members = members.withColumn("loose", ~F.col("large") | (F.col("label") != F.col("top")))
+
+    def blocks(n):
+        return F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+
+    members = members.withColumns({
+        "n_loose": F.when(F.col("large"), blocks(F.col("mates") + 1 - F.col("n_top"))).otherwise(1),
+        "n_others": F.when(F.col("large"), blocks(F.col("n_top"))).otherwise(0),
+    })
+    place = F.xxhash64("doc_id")
+    block = F.when(F.col("loose"), F.pmod(place, "n_loose")).otherwise(F.col("n_loose") + F.pmod(place, F.greatest(F.lit(1), "n_others")))
+    met = F.col("n_loose") + F.when(F.col("loose"), F.col("n_others")).otherwise(0)
+    members = members.withColumns({"block": block.cast("int"), "is_hub": F.col("hub").eqNullSafe(F.col("doc_id")), "met": met})
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("met") - 1)))
+    return members.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).select(*_SLIM)
 
 
 def remaining_links(shared, labels, classes, docs, size, text_col="text", id_col="doc_id"):
     """Links between components, as pairs (a, b) of labels: two members that share a bucket are verified.
 
-    A bucket is cut into blocks of about ``BLOCK`` members; every two blocks meet in one group.
-    Sketches say which members of a group can have a link there; only those get their full sets
+    Members meet in the groups of ``unsettled_blocks``. Sketches say which members of a group can have a link there; only those get their full sets
     and meet once more. Pairs never leave a task, only links that join components do.
     """
     own = F.coalesce("label", "doc_id")
     labelled = shared.join(labels, "doc_id", "left").select("bucket", "doc_id", "mates", "hub", own.alias("label"))
     labelled = materialize(labelled, "labelled")
-    split = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    members = materialize(labelled.join(materialize(split, "split"), "bucket"), "unsettled")
-    blocks = F.ceil((F.col("mates") + 1) / BLOCK).cast("int")
-    placed = members.join(classes.select("doc_id", "n_shingles", "registers"), "doc_id").withColumns(
-        {"blocks": blocks, "block": F.pmod(F.xxhash64("doc_id"), blocks).cast("int")}
-    )
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    slim = ["bucket", "low", "high", "block", "doc_id", "label", "is_hub"]
-    placed = placed.withColumns(
-        {"low": F.least("block", "other"), "high": F.greatest("block", "other"), "is_hub": F.col("hub").eqNullSafe(F.col("doc_id"))}
-    ).select(*slim, "n_shingles", "registers")
+    placed = unsettled_blocks(labelled).join(classes.select("doc_id", "n_shingles", "registers"), "doc_id")
+    placed = placed.select(*_SLIM, "n_shingles", "registers")
 
     def choose(batches):
         for table in grouped(batches, 3):
             found = [np.concatenate(p) for p in _Group(table, _matrix(table["registers"])).pairs(table["n_shingles"].to_numpy())]
             if found:
-                yield from table.select(slim).take(np.unique(np.concatenate(found))).to_batches()
+                yield from table.select(_SLIM).take(np.unique(np.concatenate(found))).to_batches()
 
     schema = "bucket long, low int, high int, block int, doc_id long, label long, is_hub boolean"
     chosen = materialize(placed.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(releasing(choose), schema), "chosen")
@@ -227,7 +251,7 @@ def remaining_links(shared, labels, classes, docs, size, text_col="text", id_col
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
 
-    full = chosen.join(sets, "doc_id").select(*slim, "shingles")
+    full = chosen.join(sets, "doc_id").select(*_SLIM, "shingles")
     return materialize(full.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(releasing(confirm), "a long, b long").distinct(), "more_links")
 
 
