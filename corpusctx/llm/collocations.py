@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Window, functions as F
 
-from corpusctx.llm.arrow import byte_view, column_udf, slices
+from corpusctx.llm.arrow import byte_view, column_udf, release, releasing, slices
 from corpusctx.llm.shingles import Words, mix
 from corpusctx.sources.scratch import materialize
 
@@ -29,7 +29,7 @@ MIN_COUNT = 100
 TOP = 2000
 SEGMENT = 1 << 19
 #: Entries a task takes in before it adds equal fingerprints up; it sends what it holds at one and a half times as many.
-_PENDING = 1 << 20
+_PENDING = 1 << 19
 #: Bits of a table of fingerprints: 32 for each, between these bounds. A full table only prunes less.
 _LEAST_BITS, _MOST_BITS = 1 << 16, 1 << 26
 _SEPARATES = np.zeros(256, bool)
@@ -81,15 +81,18 @@ class _Grams:
         return h.view(np.int64)
 
 
+def _lower(data):
+    return np.frombuffer(data.tobytes().translate(_LOWER), np.uint8)
+
+
 def _all_grams(batch, tables, width, longest):
     """(grams, first text, first byte, first new word) of the texts (key, salt, text) of a batch, in bounded segments."""
     data, offsets = byte_view(batch.column(2))
-    data = np.frombuffer(data.tobytes().translate(_LOWER), np.uint8)
     salts = batch.column(1).to_numpy().view(np.uint64)
     for a, b in slices(offsets, SEGMENT):
         part = data[offsets[a] : offsets[b]]
         if b - a > 1 or len(part) <= SEGMENT:
-            yield _Grams(tables, part, offsets[a : b + 1] - offsets[a], salts[a:b], width), a, 0, 0
+            yield _Grams(tables, _lower(part), offsets[a : b + 1] - offsets[a], salts[a:b], width), a, 0, 0
             continue
         at = new = 0
         while new < len(part):
@@ -97,7 +100,7 @@ def _all_grams(batch, tables, width, longest):
             while stop < len(part) and not _GAP[part[stop]]:
                 gap = np.flatnonzero(_GAP[part[stop : stop + SEGMENT]])
                 stop = min(stop + (int(gap[0]) if len(gap) else SEGMENT), len(part))
-            grams = _Grams(tables, part[at:stop], np.array([0, stop - at]), salts[a:b], width)
+            grams = _Grams(tables, _lower(part[at:stop]), np.array([0, stop - at]), salts[a:b], width)
             yield grams, a, at, int(np.searchsorted(grams.starts, new - at))
             # The next segment begins with the words that a phrase across the border may need.
             overlap = min(longest - 1, len(grams.starts))
@@ -119,11 +122,18 @@ class _Totals:
         self.pending += len(columns[0])
 
     def merged(self):
-        prints, n, *more = (np.concatenate(c) for c in zip(*self.held))
+        columns = list(zip(*self.held))
+        self.held = []
+        for k in range(len(columns)):  # one column at a time is held twice
+            columns[k] = np.concatenate(columns[k])
+        prints, n, *more = columns
+        del columns
         order = np.argsort(prints, kind="stable")
-        sorted_ = prints[order]
-        first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-        out = [sorted_[first], np.add.reduceat(n[order], first)]
+        prints = prints[order]
+        first = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
+        out = [prints[first]]
+        del prints
+        out.append(np.add.reduceat(n[order], first))
         if more:
             low, high, key, at = more
             out += [np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first), key[order[first]], at[order[first]]]
@@ -155,11 +165,13 @@ def _table_of(df, column="fp"):
 
 
 def _bits(shared):
-    return np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little").view(bool)
+    """The table as it was sent: 8 bits a byte."""
+    return np.frombuffer(shared.value, np.uint8)
 
 
 def _in_table(bits, prints):
-    return bits[prints & np.int64(len(bits) - 1)]
+    at = prints & np.int64(8 * len(bits) - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).view(bool)
 
 
 def _counted(texts, order, before, width, longest):
@@ -176,9 +188,10 @@ def _counted(texts, order, before, width, longest):
                 if len(at):
                     totals.add(grams.prints(at, order), np.ones(len(at), np.int64))
                 yield from totals.batches()
+            release()
         yield from totals.batches(done=True)
 
-    return texts.mapInArrow(run, "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(releasing(run), "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n"))
 
 
 def _pointed(texts, frequent, width, longest):
@@ -217,9 +230,10 @@ def _pointed(texts, frequent, width, longest):
                         check = grams.prints(at, order, 1)
                         totals[order].add(prints, n, check, check, keys[first + grams.text[at]], place)
                 yield from out()
+            release()
         yield from out(done=True)
 
-    found = texts.mapInArrow(run, "words int, fp long, n long, low long, high long, key long, at long")
+    found = texts.mapInArrow(releasing(run), "words int, fp long, n long, low long, high long, key long, at long")
     return found.groupBy("words", "fp").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.first("key").alias("key"), F.first("at").alias("at"))
 
 
@@ -274,7 +288,7 @@ def _materialised(texts, pointers, width):
                 yield pa.RecordBatch.from_arrays([pa.array(prints[same]), pa.array([lang.as_py()] * len(names), pa.string()), names], ["fp", "lang", "phrase"])
 
     joined = near.join(grouped, "key").select("text", "lang", "salt", "pointers")
-    return joined.mapInArrow(run, "fp long, lang string, phrase string")
+    return joined.mapInArrow(releasing(run), "fp long, lang string, phrase string")
 
 
 def _recounted(texts, collided, width, longest):
@@ -305,7 +319,7 @@ def _recounted(texts, collided, width, longest):
                 kinds = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["fp", "lang", "words", "phrase", "n"])
 
-    found = texts.mapInArrow(run, "fp long, lang string, words int, phrase string, n long")
+    found = texts.mapInArrow(releasing(run), "fp long, lang string, words int, phrase string, n long")
     return found.join(collided.select("fp", "words"), ["fp", "words"], "left_semi").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
 
 

@@ -1,8 +1,12 @@
 """Phrase mining against plain counting, with colliding fingerprints and texts cut into segments."""
 
 import re
+import tracemalloc
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +92,32 @@ def test_fingerprints_add_up_before_the_shuffle(spark, monkeypatch):
     monkeypatch.setattr(collocations, "_PENDING", 8)
     df = spark.createDataFrame(ROWS * 3, SCHEMA).coalesce(2)
     assert mined(df, min_count=3) == brute_force([r[1:] for r in ROWS * 3], 3)
+
+
+def _peak(call):
+    tracemalloc.start()
+    try:
+        call()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_a_worker():
+    """A batch is lowered by segments, entries are merged column by column, and a table is looked up as it was sent."""
+    text = "Some words of a text, and More. " * 128
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * 8192), pa.array([2] * 8192), pa.array([text] * 8192)], ["key", "salt", "text"])
+    first = collocations._all_grams(batch, collocations.Words(), 64, 5)
+    assert _peak(lambda: next(first)) < batch.nbytes
+
+    totals, n = collocations._Totals(["fp", "n"], 1 << 20), 1 << 17
+    for k in range(8):
+        totals.add(np.random.default_rng(k).integers(-(1 << 62), 1 << 62, n), np.ones(n, np.int64))
+    held = 8 * n * 16
+    assert _peak(totals.merged) < 3.5 * held
+
+    table = np.random.default_rng(1).integers(0, 256, 1 << 20, dtype=np.uint8)
+    shared, prints = SimpleNamespace(value=table.tobytes()), np.arange(-1000, 1000)
+    assert _peak(lambda: collocations._in_table(collocations._bits(shared), prints)) < table.nbytes
+    plain = np.unpackbits(table, bitorder="little").astype(bool)
+    assert (collocations._in_table(collocations._bits(shared), prints) == plain[prints % len(plain)]).all()
